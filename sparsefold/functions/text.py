@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 TOKEN_BREAK = r"[^\p{L}\p{N}]+"
 
@@ -37,6 +37,15 @@ def ngram_bits(tok: Column, n_bits: int, max_n: int = 3) -> Column:
     return F.array_distinct(F.concat(*parts))
 
 
+def unnest(df: DataFrame, row_id: str, array: str | Column, out: str) -> DataFrame:
+    """(row_id, out): one row per element of a computed array.
+
+    Outer explode, then a filter on the element: for a plain explode the optimizer adds a filter on the
+    array's size and pushes it down to the scan, where tokenising would be repeated for every word.
+    """
+    return df.select(row_id, F.explode_outer(array).alias(out)).where(F.col(out).isNotNull())
+
+
 def count_class(text: Column, char_class: str) -> Column:
     """Number of characters of ``text`` inside a regex character class body."""
     return F.length(F.regexp_replace(text, f"[^{char_class}]", ""))

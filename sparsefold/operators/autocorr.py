@@ -26,7 +26,7 @@ def lag_autocorrelation(df: DataFrame, group: str, order: list[str], value: str,
     cut need only the first and last ``max_lag`` rows of each chunk: between two such rows the others
     are all present too, so a second window over those few rows gives exactly the missing products.
     """
-    time = F.unix_micros(order[0])
+    time = F.unix_micros(F.col(order[0]).cast("timestamp"))
     sizes = df.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > rows_per_chunk)
     hot = small_side(df.join(small_side(sizes), group).groupBy(group).agg(
         F.percentile_approx(time, [i / 256 for i in range(1, 256)], 10_000).alias("_cuts")))
@@ -79,4 +79,4 @@ def distance_autocorrelation(df: DataFrame, row_id: str, points: Column, n_point
         return F.aggregate("_near", F.lit(0.0), lambda acc, m: acc + F.when(m["bin"] == b, m["w"]).otherwise(0.0))
 
     sums = F.array(*[F.struct(F.lit(b).alias("bin"), bin_sum(b).alias("ac")) for b in range(n_bins)])
-    return near.select(row_id, F.inline(sums))
+    return near.select(row_id, F.inline_outer(sums))

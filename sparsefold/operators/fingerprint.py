@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparsefold.functions.text import ngram_bits, tokens
+from sparsefold.functions.text import ngram_bits, tokens, unnest
 
 
 def with_ngram_bits(df: DataFrame, text: str, n_bits: int, max_n: int = 3, out: str = "bits") -> DataFrame:
@@ -17,7 +17,7 @@ def with_ngram_bits(df: DataFrame, text: str, n_bits: int, max_n: int = 3, out:
 def ngram_fingerprint(df: DataFrame, row_id: str, text: str, n_bits: int = 1024, max_n: int = 3) -> DataFrame:
     """Long form (row_id, bit)."""
     bits = with_ngram_bits(df.select(row_id, text), text, n_bits, max_n)
-    return bits.select(row_id, F.explode("bits").alias("bit"))
+    return unnest(bits, row_id, "bits", "bit")
 
 
 # Fixed yes/no keys for text records, numbered from 1 in this order.
@@ -49,4 +49,4 @@ def key_array(keys: list[tuple[str, str]]) -> Column:
 
 def key_fingerprint(df: DataFrame, row_id: str, keys: list[tuple[str, str]] = TEXT_KEYS) -> DataFrame:
     """Long form (row_id, key) over predefined SQL predicates."""
-    return df.select(row_id, F.explode(key_array(keys)).alias("key"))
+    return unnest(df, row_id, key_array(keys), "key")

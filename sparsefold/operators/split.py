@@ -18,7 +18,7 @@ def split_fractions(df: DataFrame, row_id: str, fractions: list[float], names: l
         raise ValueError(f"fractions sum to {sum(fractions)}, not 1")
     if len(names) != len(fractions):
         raise ValueError("one name per fraction")
-    edges = [sum(fractions[:i + 1]) for i in range(len(fractions) - 1)]
+    edges = [round(sum(fractions[:i + 1]), 12) for i in range(len(fractions) - 1)]
     keyed = df.withColumn("_h", seeded_hash(F.col(row_id), seed)).withColumn("_all", F.lit(0))
     if not edges:
         return df.withColumn(out, F.lit(names[0]))
@@ -26,13 +26,12 @@ def split_fractions(df: DataFrame, row_id: str, fractions: list[float], names: l
     def ranks(n: Column) -> Column:
         return F.array(*[F.round(n * F.lit(e)).cast("bigint") for e in edges])
 
-    # A single stratum: its cuts are one small array, read through a scalar subquery. Cuts at rank 0 are
-    # missing from it, hence counted as passed.
+    # A single stratum, so a single row of cuts. Cuts at rank 0 are missing from it, hence counted as passed.
     found = rank_cuts(keyed.select("_all", "_h", row_id), ["_all"], "_h", row_id, ranks)
-    cuts = found.select("cuts").scalar()
+    cuts = F.col("cuts")
     passed = cuts_passed(cuts, "_h", row_id) + F.lit(len(edges)) - F.coalesce(F.size(cuts), F.lit(0))
     name = F.array(*map(F.lit, names))
-    return keyed.withColumn(out, name[passed.cast("int")]).drop("_h", "_all")
+    return keyed.join(small_side(found), "_all", "left").select(*df.columns, name[passed.cast("int")].alias(out))
 
 
 def with_test_part(df: DataFrame, row_id: str, seed: int = 1, test: float = 0.2) -> DataFrame:
@@ -63,7 +62,7 @@ def split_by_group(df: DataFrame, group: str, seed: int = 1, train: float = 0.7,
     upto = F.col("n_before") + F.col("n")
     placed = running_total(sizes, [], "_b", ["_h", group], ["n"])
     part = (F.when(upto <= total * F.lit(train), "train")
-            .when(upto <= total * F.lit(train + valid), "valid").otherwise("test"))
+            .when(upto <= total * F.lit(round(train + valid, 12)), "valid").otherwise("test"))
     return placed.select(group, part.alias("part"))
 
 

@@ -31,10 +31,14 @@ def documents(spark, base) -> DataFrame:
     return table(spark, base, "documents", "doc_id")
 
 
-def record_bits(spark, base, n_bits) -> DataFrame:
+def record_bits(spark, base, n_bits, max_n=3) -> DataFrame:
     """(doc_id, y, bits) of the labelled records."""
     rec = labelled_records(spark, base).select("doc_id", "y", "text")
-    return fingerprint.with_ngram_bits(rec, "text", n_bits)
+    return fingerprint.with_ngram_bits(rec, "text", n_bits, max_n)
+
+
+def record_words(spark, base, n_bits) -> DataFrame:
+    return record_bits(spark, base, n_bits, max_n=1)
 
 
 def described(spark, base) -> DataFrame:
@@ -165,7 +169,7 @@ def missing_profile(spark, base):
 
 @query
 def rank_by_abs(spark, base):
-    rec = record_bits(spark, base, FOLD_BITS)
+    rec = record_words(spark, base, FOLD_BITS)
     share = rec.agg(F.avg("y")).scalar()
     coef = bitstats.positive_rate(rec).select("bit", F.round(F.col("rate") - share, 6).alias("coef"))
     return reshape.rank_by_abs(coef, "bit", "coef")
@@ -298,16 +302,16 @@ def rule_flags(spark, base):
 
 @query
 def chi2_bits(spark, base):
-    return bitstats.chi2_bits(record_bits(spark, base, FOLD_BITS)).select("bit", "support", *r6("chi2"))
+    return bitstats.chi2_bits(record_words(spark, base, FOLD_BITS)).select("bit", "support", *r6("chi2"))
 
 
 @query
 def bit_positive_rate(spark, base):
-    return bitstats.positive_rate(record_bits(spark, base, FOLD_BITS)).select("bit", *r6("rate"))
+    return bitstats.positive_rate(record_words(spark, base, FOLD_BITS)).select("bit", *r6("rate"))
 
 
 def significant(spark, base):
-    return bitstats.significant_bits(bitstats.chi2_bits(record_bits(spark, base, SIG_BITS)))
+    return bitstats.significant_bits(bitstats.chi2_bits(record_words(spark, base, SIG_BITS)))
 
 
 @query
@@ -323,7 +327,7 @@ def sig_bits_pos(spark, base):
 @query
 def sig_bit_counts(spark, base):
     neg, pos = significant(spark, base)
-    return record_bits(spark, base, SIG_BITS).select(
+    return record_words(spark, base, SIG_BITS).select(
         "doc_id", reshape.count_listed(F.col("bits"), neg).alias("neg_cnt"),
         reshape.count_listed(F.col("bits"), pos).alias("pos_cnt"))
 

@@ -22,16 +22,20 @@ def tok(source: str) -> str:
     return f"tok AS (SELECT doc_id, {TOK} AS t FROM {source})"
 
 
-def bits(source: str, n: int) -> str:
-    return f"""{tok(source)},
-gram AS (SELECT doc_id, unnest(list_concat(t, list_concat(
-    CASE WHEN len(t) >= 2 THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i+1]) ELSE [] END,
-    CASE WHEN len(t) >= 3 THEN list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i+1] || ' ' || t[i+2])
-         ELSE [] END))) AS g FROM tok),
+WORDS = """word AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM tok),
+nxt AS (SELECT doc_id, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY i))"""
+
+
+def bits(source: str, n: int, only_words: bool = False) -> str:
+    if only_words:
+        return f"""{tok(source)}, {WORDS}, bits AS (SELECT DISTINCT doc_id, {bit("w", n)} AS bit FROM nxt)"""
+    return f"""{tok(source)}, {WORDS},
+gram AS (SELECT doc_id, w AS g FROM nxt UNION SELECT doc_id, w || ' ' || w2 FROM nxt WHERE w2 IS NOT NULL
+    UNION SELECT doc_id, w || ' ' || w2 || ' ' || w3 FROM nxt WHERE w3 IS NOT NULL),
 bits AS (SELECT DISTINCT doc_id, {bit("g", n)} AS bit FROM gram)"""
 
 
-REC_BITS = lambda n: f"{REC}, {bits('rec', n)}, rb AS (SELECT b.doc_id, b.bit, r.y FROM bits b JOIN rec r USING (doc_id))"
+REC_BITS = lambda n, only_words=False: f"{REC}, {bits('rec', n, only_words)}, rb AS (SELECT b.doc_id, b.bit, r.y FROM bits b JOIN rec r USING (doc_id))"
 
 
 def outside(chars: str) -> str:
@@ -75,14 +79,14 @@ f AS (SELECT doc_id, 'ng' AS family, 'ng_' || bit AS feature FROM bits
 
 def pairs(n: int) -> str:
     return f"""{REC_BITS(n)}, sup AS (SELECT bit, count(*) AS n FROM rb GROUP BY bit),
-co AS (SELECT p.bit AS a, q.bit AS b, count(*) AS both FROM rb p JOIN rb q ON p.doc_id = q.doc_id AND p.bit < q.bit
+co AS (SELECT p.bit AS a, q.bit AS b, count(*) AS "both" FROM rb p JOIN rb q ON p.doc_id = q.doc_id AND p.bit < q.bit
        GROUP BY 1, 2),
-sim AS (SELECT a, b, both, both::DOUBLE / (x.n + z.n - both) AS sim FROM co JOIN sup x ON x.bit = a
+sim AS (SELECT a, b, "both", "both"::DOUBLE / (x.n + z.n - "both") AS sim FROM co JOIN sup x ON x.bit = a
         JOIN sup z ON z.bit = b)"""
 
 
 def chi2(n: int) -> str:
-    return f"""{REC_BITS(n)}, tot AS (SELECT avg(y) AS p FROM rec),
+    return f"""{REC_BITS(n, True)}, tot AS (SELECT avg(y) AS p FROM rec),
 s AS (SELECT bit, count(*) AS support, sum(y) AS pos FROM rb GROUP BY bit),
 c AS (SELECT bit, support, pos::DOUBLE / support AS rate,
              (pos - p * support) ** 2 / (p * support)
@@ -94,10 +98,8 @@ SIG_POS = "chi2 > 3.841458820694124 AND rate > 0.80"
 
 GRAPH = f"""{REC}, {tok('rec')},
 nodes AS (SELECT DISTINCT doc_id, unnest(t) AS node FROM tok),
-adj AS (SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: {{'a': t[i], 'b': t[i+1]}})) AS p FROM tok
-        WHERE len(t) >= 2),
-nbr AS (SELECT DISTINCT doc_id, p.a AS node, p.b AS nbr FROM adj WHERE p.a <> p.b
-        UNION SELECT DISTINCT doc_id, p.b, p.a FROM adj WHERE p.a <> p.b),
+{WORDS},
+nbr AS (SELECT doc_id, w AS node, w2 AS nbr FROM nxt WHERE w <> w2 UNION SELECT doc_id, w2, w FROM nxt WHERE w <> w2),
 l0 AS (SELECT doc_id, node, md5(node) AS label FROM nodes),
 l1 AS (SELECT l0.doc_id, l0.node, md5(any_value(l0.label) || coalesce(string_agg(m.label, '' ORDER BY m.label), '')) AS label
        FROM l0 LEFT JOIN nbr USING (doc_id, node) LEFT JOIN l0 m ON m.doc_id = l0.doc_id AND m.node = nbr.nbr GROUP BY 1, 2),
@@ -184,11 +186,11 @@ ORACLES = {
         SELECT 'o_totalprice' AS "column", count(*) FILTER (p IS NULL) AS n_missing, count(*) AS n_rows FROM m
         UNION ALL SELECT 'o_orderdate', count(*) FILTER (d IS NULL), count(*) FROM m
         UNION ALL SELECT '*', count(*) FILTER (p IS NULL OR d IS NULL), count(*) FROM m""",
-    "rank_by_abs": f"""WITH {REC_BITS(1024)}, c AS (SELECT bit, round(avg(y) - (SELECT avg(y) FROM rec), 6) AS coef FROM rb GROUP BY bit)
+    "rank_by_abs": f"""WITH {REC_BITS(1024, True)}, c AS (SELECT bit, round(avg(y) - (SELECT avg(y) FROM rec), 6) AS coef FROM rb GROUP BY bit)
         SELECT bit, coef, row_number() OVER (ORDER BY abs(coef) DESC, bit)::INTEGER AS rank FROM c WHERE coef <> 0""",
     "join_features_outer": """SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, (d.doc_id IS NOT NULL)::INTEGER AS has_doc,
         (l.doc_id IS NOT NULL)::INTEGER AS has_label FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id""",
-    "feature_pairs": f"WITH {pairs(1024)} SELECT a, b, both FROM co",
+    "feature_pairs": f"WITH {pairs(1024)} SELECT a, b, \"both\" FROM co",
     "split_semi_join": f"WITH {PART} SELECT d.doc_id, source, n_chars FROM documents d JOIN part USING (doc_id) WHERE part = 'test'",
     "drop_listed_features": f"""WITH {pearson()}, {MELT} SELECT doc_id, feature, round(value, 6) AS value FROM melted
         WHERE feature NOT IN (SELECT f2 FROM pr WHERE abs(r) > 0.95 AND NOT isnan(r))""",
@@ -197,8 +199,7 @@ ORACLES = {
     "fp_ngram": f"WITH {bits('documents', 1024)} SELECT doc_id, bit FROM bits",
     "fp_keys": f"WITH {KEYS} SELECT doc_id, key FROM keys",
     "doc_graph_edges": f"""WITH {tok('documents')},
-        adj AS (SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: {{'a': t[i], 'b': t[i+1]}})) AS p FROM tok WHERE len(t) >= 2)
-        SELECT DISTINCT doc_id, least(p.a, p.b) AS src, greatest(p.a, p.b) AS dst FROM adj WHERE p.a <> p.b""",
+        {WORDS} SELECT DISTINCT doc_id, least(w, w2) AS src, greatest(w, w2) AS dst FROM nxt WHERE w <> w2""",
     "fp_neighbourhood": f"WITH {GRAPH} SELECT doc_id, bit FROM nf",
     "graph_embedding": f"""WITH {GRAPH}, df AS (SELECT bit, count(*) AS df FROM nf GROUP BY bit)
         SELECT doc_id, bit, round(n * ln(((SELECT count(DISTINCT doc_id) FROM nf) + 1.0::DOUBLE) / (df + 1)), 6) AS weight
@@ -218,7 +219,7 @@ ORACLES = {
         "CASE WHEN " + " AND ".join(f"{c} {op} {b}" for c, op, b in rule) + f" THEN 1 ELSE 0 END AS {name}"
         for name, rule in TEXT_RULES.items()) + " FROM dsc",
     "chi2_bits": f"WITH {chi2(1024)} SELECT bit, support, round(chi2, 6) AS chi2 FROM c",
-    "bit_positive_rate": f"WITH {REC_BITS(1024)} SELECT bit, round(avg(y), 6) AS rate FROM rb GROUP BY bit",
+    "bit_positive_rate": f"WITH {REC_BITS(1024, True)} SELECT bit, round(avg(y), 6) AS rate FROM rb GROUP BY bit",
     "sig_bits_neg": f"WITH {chi2(4096)} SELECT bit FROM c WHERE {SIG_NEG}",
     "sig_bits_pos": f"WITH {chi2(4096)} SELECT bit FROM c WHERE {SIG_POS}",
     "sig_bit_counts": f"""WITH {chi2(4096)} SELECT r.doc_id, count(*) FILTER ({SIG_NEG})::INTEGER AS neg_cnt,
@@ -232,7 +233,7 @@ ORACLES = {
     "scale_maxabs": scaled("value / CASE WHEN m = 0 THEN 1 ELSE m END", "max(abs(value)) AS m"),
     "scale_rowsum": f"""WITH {DESC_CTE}, {MELT}, t AS (SELECT doc_id, nullif({' + '.join(DESC)}, 0) AS s FROM dsc)
         SELECT doc_id, feature, round(value / s, 6) AS scaled FROM melted JOIN t USING (doc_id)""",
-    "tanimoto_pairs": f"WITH {pairs(1024)} SELECT a, b, both, round(sim, 6) AS sim FROM sim WHERE sim > 0.5",
+    "tanimoto_pairs": f"WITH {pairs(1024)} SELECT a, b, \"both\", round(sim, 6) AS sim FROM sim WHERE sim > 0.5",
     "prune_tanimoto": f"WITH {pairs(4096)} SELECT DISTINCT b AS bit FROM sim WHERE sim > 0.5",
     "pearson_pairs": f"WITH {pearson()} SELECT f1, f2, round(r, 6) AS r FROM pr",
     "prune_pearson": f"WITH {pearson()} SELECT DISTINCT f2 AS feature FROM pr WHERE abs(r) > 0.95 AND NOT isnan(r)",
