@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sparsefold.functions.hashing import hash_int, seeded_hash
-from sparsefold.operators import autocorr, bitstats, clean, descriptors, evaluate, fingerprint, graph, joins
-from sparsefold.operators import labels as lab, moments, reshape, similarity, split
+from sparsefold.operators import autocorr, bitstats, clean, descriptors, evaluate, fingerprint, graph, joins, kernel
+from sparsefold.operators import labels as lab, models, moments, neighbours, resample, reshape, select, similarity, split
+from sparsefold.plans import flows
 from sparsefold.session import shared_dir
+from sparsefold.sources import stores
 from sparsefold.sources.tables import labelled_records, table
 from sparsefold.sources.tsv import read_tsv, write_tsv
 
@@ -457,3 +460,178 @@ def pick_best_params(spark, base):
     loss = evaluate.loss_scores(three_models(spark, base), ["model", "seed"], "y")
     scores = loss.select(F.col("model").alias("params"), F.substring("model", 2, 1).cast("int").alias("at"), (-F.col("logloss")).alias("score"))
     return evaluate.pick_best(scores, ["params"], "at").select("params", *r6("score"))
+
+
+# Kernels
+
+
+def embeddings(spark, base) -> DataFrame:
+    return table(spark, base, "embeddings")
+
+
+@query
+def kernel_gram(spark, base):
+    return kernel.gram_sums(embeddings(spark, base), "vec_id", "embedding", 64).select("vec_id", *r6("k_self", "k_sum"))
+
+
+@query
+def kernel_gram_centered(spark, base):
+    return kernel.gram_sums(embeddings(spark, base), "vec_id", "embedding", 64).select("vec_id", F.round("k_centered", 9).alias("k_centered"))
+
+
+def described_vectors(spark, base) -> DataFrame:
+    """(doc_id, y, x, features): scaled descriptors of the labelled records."""
+    rec = labelled_records(spark, base).select("doc_id", "y", "text")
+    desc = descriptors.scalar_descriptors(rec, "doc_id", "text", keep=("y",))
+    desc = clean.apply_imputer(desc, clean.fit_imputer(desc, DESC), DESC).persist()
+    scaled = clean.apply_scaler(desc, clean.fit_scaler(desc, DESC), DESC)
+    x = F.array(*DESC)
+    return scaled.select("doc_id", "y", x.alias("x"), array_to_vector(x).alias("features"))
+
+
+def record_scores(spark, base) -> DataFrame:
+    rows = described_vectors(spark, base).persist()
+    return kernel.apply_kernel_pca(kernel.fit_kernel_pca(rows, len(DESC)), rows)
+
+
+@query
+def kpca_scores(spark, base):
+    """Per component the sum of squared scores; all together the trace of the centred Gram matrix."""
+    lam = kernel.spectrum(record_scores(spark, base))
+    return lam.agg(F.round(F.sum("sum_sq"), 4).alias("trace"), F.round(F.sum(F.col("sum_sq") * F.col("sum_sq")), 2).alias("sum_sq_sq"))
+
+
+@query
+def kpca_components(spark, base):
+    return kernel.spectrum(record_scores(spark, base))
+
+
+# Resampling
+
+
+def two_scaled(spark, base) -> DataFrame:
+    """(doc_id, y, x): two scaled descriptors of the labelled records."""
+    rows = labelled_records(spark, base).select("doc_id", "y", "n_chars", F.length(F.regexp_replace("text", "[^a-z]", "")).alias("n_lower"))
+    cols = ["n_chars", "n_lower"]
+    rows = rows.select("doc_id", "y", *[F.col(c).cast("double").alias(c) for c in cols])
+    scaled = clean.apply_scaler(rows, clean.fit_scaler(rows, cols, "maxabs"), cols)
+    return scaled.select("doc_id", "y", F.array(*cols).alias("x")).persist()
+
+
+@query
+def knn_minority(spark, base):
+    small = two_scaled(spark, base).where("y = 0")
+    return neighbours.nearest_neighbours(small, small, "doc_id", "x", 5).select("doc_id", "nbr", F.col("rn").cast("int").alias("rn"))
+
+
+def balance(spark, base, ratio) -> DataFrame:
+    out = resample.smote(two_scaled(spark, base), "doc_id", "y", "x", ratio)
+    original = F.when(F.col("base").isNull(), 1)
+    return out.groupBy("y").agg(F.count(original).alias("n_before"), F.count("*").alias("n_after"))
+
+
+@query
+def smote_balance_counts(spark, base):
+    return balance(spark, base, 1.0)
+
+
+@query
+def smote_ratio_counts(spark, base):
+    return balance(spark, base, 1.5)
+
+
+@query
+def smote_rows(spark, base):
+    """Counts, and how many synthetic rows leave the box spanned by base - half a step and the neighbour."""
+    rows = two_scaled(spark, base)
+    out = resample.smote(rows, "doc_id", "y", "x").select("y", "x", "base", "nbr", "step")
+    at = rows.select("doc_id", F.col("x").alias("p"))
+    made = (out.where(F.col("base").isNotNull()).join(at.withColumnsRenamed({"doc_id": "base", "p": "a"}), "base")
+            .join(at.withColumnsRenamed({"doc_id": "nbr", "p": "b"}), "nbr"))
+    far = F.exists(F.arrays_zip("x", "a", "b"), lambda v: (
+        (v["x"] < F.least(v["a"] - (v["b"] - v["a"]) / 2, v["b"]) - 1e-9)
+        | (v["x"] > F.greatest(v["a"] - (v["b"] - v["a"]) / 2, v["b"]) + 1e-9)))
+    rest = out.where(F.col("base").isNull()).select("y", F.lit(0).alias("far"))
+    both = rest.unionByName(made.select("y", far.cast("int").alias("far")))
+    return both.groupBy("y").agg(F.count("*").alias("n"), F.sum("far").alias("n_outside_box"))
+
+
+# Selection, search and models. Search effort is reduced here; the functions' defaults are the full search.
+
+EFFORT = flows.Effort(broad=[1e-5, 0.25001, 0.50001, 0.75001], refine=[(0.05, 0.05), (0.01, 0.01)], logistic_c=[0.1, 1.0],
+                      repeats=2, seeds=[1, 2])
+
+
+def scored(preds: DataFrame) -> DataFrame:
+    names = ["auc", "accuracy", "f1", "sensitivity", "specificity"]
+    return flows.scores(preds).select("model", "part", "seed", *r6(*names))
+
+
+@query
+def lasso_select(spark, base):
+    rows = described_vectors(spark, base).select("doc_id", "y", "x").persist()
+    return select.lasso_select(rows, "doc_id", DESC, EFFORT.broad, EFFORT.refine, EFFORT.repeats)
+
+
+@query
+def forward_select(spark, base):
+    rows = described_vectors(spark, base).select("doc_id", "y", "x").persist()
+    return select.forward_select(rows, "doc_id", DESC, folds=2, most=2)
+
+
+@query
+def grid_search_scores(spark, base):
+    rows = described_vectors(spark, base).select("doc_id", "y", "x").persist()
+    grid = [{"c": c, "balanced": b} for c in EFFORT.logistic_c for b in (False, True)]
+    return select.grid_scores(rows, "doc_id", grid, select.logistic_scorer, repeats=EFFORT.repeats)
+
+
+@query
+def train_logistic(spark, base):
+    return scored(flows.logistic_predictions(flows.prepare(spark, base, EFFORT.seeds), EFFORT))
+
+
+@query
+def train_random_forest(spark, base):
+    return scored(flows.forest_predictions(flows.prepare(spark, base, EFFORT.seeds), EFFORT))
+
+
+@query
+def train_linear_svm(spark, base):
+    return scored(flows.svm_predictions(flows.prepare(spark, base, EFFORT.seeds), EFFORT))
+
+
+@query
+def train_mlp(spark, base):
+    return scored(flows.mlp_predictions(flows.prepare(spark, base, EFFORT.seeds), EFFORT))
+
+
+@query
+def train_stacked(spark, base):
+    p = flows.prepare(spark, base, EFFORT.seeds)
+    reduced = flows.with_lasso(flows.with_kernel_pca(p), EFFORT)
+    preds = (flows.mlp_predictions(p, EFFORT, reduced).unionByName(flows.forest_predictions(p, EFFORT))
+             .unionByName(flows.svm_predictions(p, EFFORT, reduced)).persist())
+    return scored(preds.unionByName(flows.stacked_predictions(preds, EFFORT.seeds, EFFORT.repeats)))
+
+
+@query
+def platt_calibrate(spark, base):
+    rows = described_vectors(spark, base).select("doc_id", "y", "x").persist()
+    return models.fit_linear_svm(rows, "doc_id", folds=3)(rows).select("doc_id", "y", *r6("prob"))
+
+
+@query
+def oof_predictions(spark, base):
+    rows = described_vectors(spark, base).select("doc_id", "y", "x").persist()
+    held = models.out_of_fold(rows, "doc_id", lambda part: models.fit_logistic(part), folds=3)
+    return held.select("doc_id", "fold", F.col("y").alias("actual"), *r6("prob"))
+
+
+@query
+def pipeline_save_load_score(spark, base):
+    """A fitted kernel PCA written, read back and applied; the scores' spectrum shows it is the same model."""
+    rows = described_vectors(spark, base).persist()
+    path = shared_dir(spark)
+    stores.save_model(kernel.fit_kernel_pca(rows, len(DESC)), path)
+    return kernel.spectrum(kernel.apply_kernel_pca(stores.load_model(path), rows))

@@ -161,6 +161,12 @@ COV = " UNION ALL ".join(
     for i in range(3) for j in range(i, 3))
 MASKED = "CASE WHEN abs(o_totalprice) <= 100000 THEN o_totalprice END"
 
+GRAM = """g AS (SELECT a.vec_id AS a, (0.001::DOUBLE * list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) ** 2 AS k,
+    (0.001::DOUBLE * list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) + 1) ** 2 AS own FROM embeddings a, embeddings b)"""
+TWO = f"""{REC}, raw AS (SELECT doc_id, y, n_chars::DOUBLE AS u, length(regexp_replace(text, '[^a-z]', '', 'g'))::DOUBLE AS v FROM rec),
+two AS (SELECT doc_id, y, u / (SELECT max(u) FROM raw) AS u, v / (SELECT max(v) FROM raw) AS v FROM raw)"""
+CLASSES = f"{REC}, c AS (SELECT y, count(*) AS n FROM rec GROUP BY y), cls AS (SELECT y, n, (SELECT max(n) FROM c) AS top FROM c)"
+
 ORACLES = {
     "src_labelled_records": f"WITH {REC} SELECT doc_id, y, n_chars FROM rec",
     "src_tsv_roundtrip": "SELECT * FROM customer",
@@ -259,4 +265,22 @@ ORACLES = {
         SELECT model, part, round(avg(auc), 3) AS mean, round(stddev_pop(auc), 3) AS sd FROM auc GROUP BY 1, 2""",
     "pick_best_params": f"""WITH {THREE}, {LOSS}, m AS (SELECT model AS params, avg(-logloss) AS score FROM loss GROUP BY 1)
         SELECT params, round(score, 6) AS score FROM m ORDER BY score DESC, params LIMIT 1""",
+    "kernel_gram": f"WITH {GRAM} SELECT a AS vec_id, round(max(own), 6) AS k_self, round(sum(k), 6) AS k_sum FROM g GROUP BY a",
+    "kernel_gram_centered": f"""WITH {GRAM}, s AS (SELECT a, max(own) AS own, avg(k) AS m FROM g GROUP BY a)
+        SELECT a AS vec_id, round(own - 2 * m + (SELECT avg(k) FROM g), 9) AS k_centered FROM s""",
+    "kpca_scores": f"""WITH {REC}, dt AS (SELECT doc_id, text, {TOK} AS t FROM rec),
+        dsc AS (SELECT doc_id, {", ".join(f"({RAW_DESC[c]})::DOUBLE AS {c}" for c in DESC)} FROM dt),
+        mom AS (SELECT {", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s" for c in DESC)} FROM dsc),
+        v AS (SELECT doc_id, [{", ".join(f"(coalesce({c}, {c}_m) - {c}_m) / {c}_s" for c in DESC)}] AS x FROM dsc, mom),
+        k AS (SELECT a.doc_id AS i, b.doc_id AS j, (0.001::DOUBLE * list_dot_product(a.x, b.x) + 1) ** 2 AS k FROM v a, v b),
+        r AS (SELECT i, avg(k) AS m FROM k GROUP BY i), g AS (SELECT avg(k) AS m FROM k),
+        c AS (SELECT k.i, k.j, k.k - p.m - q.m + g.m AS k FROM k JOIN r p ON p.i = k.i JOIN r q ON q.i = k.j, g)
+        SELECT round(sum(k) FILTER (i = j), 4) AS trace, round(sum(k * k), 2) AS sum_sq_sq FROM c""",
+    "knn_minority": f"""WITH {TWO}, d AS (SELECT a.doc_id, b.doc_id AS nbr,
+        row_number() OVER (PARTITION BY a.doc_id ORDER BY (a.u - b.u) ** 2 + (a.v - b.v) ** 2, b.doc_id)::INTEGER AS rn
+        FROM two a JOIN two b ON a.doc_id <> b.doc_id WHERE a.y = 0 AND b.y = 0) SELECT doc_id, nbr, rn FROM d WHERE rn <= 5""",
+    "smote_balance_counts": f"WITH {CLASSES} SELECT y, n AS n_before, greatest(n, top) AS n_after FROM cls",
+    "smote_ratio_counts": f"""WITH {CLASSES} SELECT y, n AS n_before, CASE WHEN n = top THEN n ELSE floor(top * 1.5)::BIGINT END AS n_after
+        FROM cls""",
+    "smote_rows": f"WITH {CLASSES} SELECT y, top AS n, 0 AS n_outside_box FROM cls",
 }
