@@ -22,12 +22,9 @@ def _one_row(df: DataFrame, per_column: dict[str, Column]) -> DataFrame:
     return wide.unpivot([], [F.col(f"`{c}`") for c in per_column], "feature", "params")
 
 
-def _as_struct(params: DataFrame, cols: list[str]) -> Column:
-    """Fitted numbers as one struct, read once through a scalar subquery: no join and no shuffle of rows.
-    Its size is the number of columns."""
-    value = [c for c in params.columns if c != "feature"]
-    picked = [F.first(F.when(F.col("feature") == c, F.struct(*value)), ignorenulls=True).alias(c) for c in cols]
-    return params.agg(F.struct(*picked).alias("p")).scalar()
+def _fitted(params: DataFrame, cols: list[str]) -> dict[str, dict]:
+    """Fitted numbers by column, as literals for the plan: one row per named column reaches the driver."""
+    return {r["feature"]: r.asDict() for r in params.where(F.col("feature").isin(cols)).collect()}
 
 
 def fit_imputer(train: DataFrame, cols: list[str]) -> DataFrame:
@@ -36,8 +33,8 @@ def fit_imputer(train: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def apply_imputer(df: DataFrame, params: DataFrame, cols: list[str]) -> DataFrame:
-    p = _as_struct(params, cols)
-    return df.withColumns({c: F.coalesce(F.col(c), p[c]["mean"]) for c in cols})
+    p = _fitted(params, cols)
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(p[c]["mean"])) for c in cols})
 
 
 def fit_scaler(train: DataFrame, cols: list[str], kind: str = "standard") -> DataFrame:
@@ -57,8 +54,8 @@ def fit_scaler(train: DataFrame, cols: list[str], kind: str = "standard") -> Dat
 
 
 def apply_scaler(df: DataFrame, params: DataFrame, cols: list[str]) -> DataFrame:
-    p = _as_struct(params, cols)
-    return df.withColumns({c: (F.col(c) - p[c]["center"]) / p[c]["scale"] for c in cols})
+    p = _fitted(params, cols)
+    return df.withColumns({c: (F.col(c) - F.lit(p[c]["center"])) / F.lit(p[c]["scale"]) for c in cols})
 
 
 def row_sum_scale(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from sparsefold.functions.hashing import hash_int, seeded_hash
 from sparsefold.operators import autocorr, bitstats, clean, descriptors, evaluate, fingerprint, graph, joins, kernel
 from sparsefold.operators import labels as lab, models, moments, neighbours, resample, reshape, select, similarity, split
 from sparsefold.plans import flows
-from sparsefold.session import shared_dir
+from sparsefold.session import settle, shared_dir
 from sparsefold.sources import stores
 from sparsefold.sources.tables import labelled_records, table
 from sparsefold.sources.tsv import read_tsv, write_tsv
@@ -482,15 +482,15 @@ def kernel_gram_centered(spark, base):
 def described_vectors(spark, base) -> DataFrame:
     """(doc_id, y, x, features): scaled descriptors of the labelled records."""
     rec = labelled_records(spark, base).select("doc_id", "y", "text")
-    desc = descriptors.scalar_descriptors(rec, "doc_id", "text", keep=("y",))
-    desc = clean.apply_imputer(desc, clean.fit_imputer(desc, DESC), DESC).persist()
+    desc = settle(descriptors.scalar_descriptors(rec, "doc_id", "text", keep=("y",)))
+    desc = clean.apply_imputer(desc, clean.fit_imputer(desc, DESC), DESC)
     scaled = clean.apply_scaler(desc, clean.fit_scaler(desc, DESC), DESC)
     x = F.array(*DESC)
-    return scaled.select("doc_id", "y", x.alias("x"), array_to_vector(x).alias("features"))
+    return scaled.select("doc_id", "y", x.alias("x"), array_to_vector(x).alias("features")).persist()
 
 
 def record_scores(spark, base) -> DataFrame:
-    rows = described_vectors(spark, base).persist()
+    rows = described_vectors(spark, base)
     return kernel.apply_kernel_pca(kernel.fit_kernel_pca(rows, len(DESC)), rows)
 
 
@@ -515,7 +515,7 @@ def two_scaled(spark, base) -> DataFrame:
     cols = ["n_chars", "n_lower"]
     rows = rows.select("doc_id", "y", *[F.col(c).cast("double").alias(c) for c in cols])
     scaled = clean.apply_scaler(rows, clean.fit_scaler(rows, cols, "maxabs"), cols)
-    return scaled.select("doc_id", "y", F.array(*cols).alias("x")).persist()
+    return settle(scaled.select("doc_id", "y", F.array(*cols).alias("x"))).persist()
 
 
 @query
@@ -558,7 +558,7 @@ def smote_rows(spark, base):
 
 # Selection, search and models. Search effort is reduced here; the functions' defaults are the full search.
 
-EFFORT = flows.Effort(broad=[1e-5, 0.25001, 0.50001, 0.75001], refine=[(0.05, 0.05), (0.01, 0.01)], logistic_c=[0.1, 1.0],
+EFFORT = flows.Effort(broad=[1e-5, 0.25001, 0.50001, 0.75001], refine=[(0.05, 0.05), (0.01, 0.01)], logistic_c=[1.0, 10.0],
                       repeats=2, seeds=[1, 2])
 
 
@@ -569,19 +569,19 @@ def scored(preds: DataFrame) -> DataFrame:
 
 @query
 def lasso_select(spark, base):
-    rows = described_vectors(spark, base).select("doc_id", "y", "x").persist()
+    rows = described_vectors(spark, base).select("doc_id", "y", "x")
     return select.lasso_select(rows, "doc_id", DESC, EFFORT.broad, EFFORT.refine, EFFORT.repeats)
 
 
 @query
 def forward_select(spark, base):
-    rows = described_vectors(spark, base).select("doc_id", "y", "x").persist()
+    rows = described_vectors(spark, base).select("doc_id", "y", "x")
     return select.forward_select(rows, "doc_id", DESC, folds=2, most=2)
 
 
 @query
 def grid_search_scores(spark, base):
-    rows = described_vectors(spark, base).select("doc_id", "y", "x").persist()
+    rows = described_vectors(spark, base).select("doc_id", "y", "x")
     grid = [{"c": c, "balanced": b} for c in EFFORT.logistic_c for b in (False, True)]
     return select.grid_scores(rows, "doc_id", grid, select.logistic_scorer, repeats=EFFORT.repeats)
 
@@ -611,19 +611,19 @@ def train_stacked(spark, base):
     p = flows.prepare(spark, base, EFFORT.seeds)
     reduced = flows.with_lasso(flows.with_kernel_pca(p), EFFORT)
     preds = (flows.mlp_predictions(p, EFFORT, reduced).unionByName(flows.forest_predictions(p, EFFORT))
-             .unionByName(flows.svm_predictions(p, EFFORT, reduced)).persist())
+             .unionByName(flows.svm_predictions(p, EFFORT, reduced)))
     return scored(preds.unionByName(flows.stacked_predictions(preds, EFFORT.seeds, EFFORT.repeats)))
 
 
 @query
 def platt_calibrate(spark, base):
-    rows = described_vectors(spark, base).select("doc_id", "y", "x").persist()
+    rows = described_vectors(spark, base).select("doc_id", "y", "x")
     return models.fit_linear_svm(rows, "doc_id", folds=3)(rows).select("doc_id", "y", *r6("prob"))
 
 
 @query
 def oof_predictions(spark, base):
-    rows = described_vectors(spark, base).select("doc_id", "y", "x").persist()
+    rows = described_vectors(spark, base).select("doc_id", "y", "x")
     held = models.out_of_fold(rows, "doc_id", lambda part: models.fit_logistic(part), folds=3)
     return held.select("doc_id", "fold", F.col("y").alias("actual"), *r6("prob"))
 
@@ -631,7 +631,7 @@ def oof_predictions(spark, base):
 @query
 def pipeline_save_load_score(spark, base):
     """A fitted kernel PCA written, read back and applied; the scores' spectrum shows it is the same model."""
-    rows = described_vectors(spark, base).persist()
+    rows = described_vectors(spark, base)
     path = shared_dir(spark)
     stores.save_model(kernel.fit_kernel_pca(rows, len(DESC)), path)
     return kernel.spectrum(kernel.apply_kernel_pca(stores.load_model(path), rows))

@@ -5,10 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BROADCAST_ROW_LIMIT = 200_000
+ROWS_PER_TASK = 10_000
+PARALLEL_FITS = 4
 
 
 def build_session(cpus: int | str = "*", app: str = "sparsefold", shuffle_partitions: int = 8) -> SparkSession:
@@ -59,6 +64,26 @@ def accumulator_tasks(spark: SparkSession) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def in_threads(fn: Callable, items: list, parallel: int = PARALLEL_FITS) -> list:
+    """Submit Spark jobs from a few driver threads, so that small fits fill the cluster."""
+    if not items:
+        return []
+    with ThreadPool(min(parallel, len(items))) as pool:
+        return pool.map(inheritable_thread_target(SparkSession.getActiveSession())(fn), items)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back, for frames that many jobs start from.
+
+    Their plans become one scan, and losing an executor costs no recomputation. Iterative fits pay for every
+    task in every iteration, so partitions of fewer than ROWS_PER_TASK rows are merged.
+    """
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    stored = df.sparkSession.read.parquet(path)
+    return stored.coalesce(1 + stored.count() // ROWS_PER_TASK)
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Hint a broadcast only after counting; above the limit the caller's join stays a shuffle join.
 
