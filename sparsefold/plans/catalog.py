@@ -358,7 +358,7 @@ def scaled_long(spark, base, kind):
         out = clean.row_sum_scale(desc, DESC)
     else:
         out = clean.apply_scaler(desc, clean.fit_scaler(desc.where(F.col("part") == "train"), DESC, kind), DESC)
-    return reshape.melt(out, "doc_id", DESC).select("doc_id", "feature", F.round("value", 6).alias("scaled"))
+    return reshape.melt(out, "doc_id", DESC).select("doc_id", "feature", F.round("value", 8).alias("scaled"))
 
 
 for _kind in ("standard", "minmax", "maxabs", "rowsum"):

@@ -141,7 +141,7 @@ LOSS = """loss AS (SELECT model, seed,
 def scaled(value: str, fit: str) -> str:
     return f"""WITH {DESC_CTE}, {MELT}, {PART},
 fit AS (SELECT feature, {fit} FROM melted JOIN part USING (doc_id) WHERE part = 'train' GROUP BY feature)
-SELECT doc_id, feature, round({value}, 6) AS scaled FROM melted JOIN fit USING (feature)"""
+SELECT doc_id, feature, round({value}, 8) AS scaled FROM melted JOIN fit USING (feature)"""
 
 
 def pearson() -> str:
@@ -238,7 +238,7 @@ ORACLES = {
     "scale_minmax": scaled("(value - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END", "min(value) AS lo, max(value) AS hi"),
     "scale_maxabs": scaled("value / CASE WHEN m = 0 THEN 1 ELSE m END", "max(abs(value)) AS m"),
     "scale_rowsum": f"""WITH {DESC_CTE}, {MELT}, t AS (SELECT doc_id, nullif({' + '.join(DESC)}, 0) AS s FROM dsc)
-        SELECT doc_id, feature, round(value / s, 6) AS scaled FROM melted JOIN t USING (doc_id)""",
+        SELECT doc_id, feature, round(value / s, 8) AS scaled FROM melted JOIN t USING (doc_id)""",
     "tanimoto_pairs": f"WITH {pairs(1024)} SELECT a, b, \"both\", round(sim, 6) AS sim FROM sim WHERE sim > 0.5",
     "prune_tanimoto": f"WITH {pairs(4096)} SELECT DISTINCT b AS bit FROM sim WHERE sim > 0.5",
     "pearson_pairs": f"WITH {pearson()} SELECT f1, f2, round(r, 6) AS r FROM pr",

@@ -68,8 +68,9 @@ def in_threads(fn: Callable, items: list, parallel: int = PARALLEL_FITS) -> list
     """Submit Spark jobs from a few driver threads, so that small fits fill the cluster."""
     if not items:
         return []
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     with ThreadPool(min(parallel, len(items))) as pool:
-        return pool.map(inheritable_thread_target(SparkSession.getActiveSession())(fn), items)
+        return pool.map(inheritable_thread_target(spark)(fn), items)
 
 
 def settle(df: DataFrame) -> DataFrame:

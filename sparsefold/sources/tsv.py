@@ -14,12 +14,12 @@ def write_tsv(df: DataFrame, path: str, index: bool = False, mode: str = "errori
     if index:
         df = df.select(F.monotonically_increasing_id().alias(INDEX_COLUMN), "*")
     (df.write.mode(mode).option("sep", "\t").option("header", True)
-       .option("nullValue", "\\N").option("emptyValue", "").csv(path))
+       .option("nullValue", "\\N").csv(path))
 
 
 def read_tsv(spark: SparkSession, path: str, schema: StructType, index: bool = False) -> DataFrame:
     """Read with an explicit schema; drop the first column when it is an index."""
     full = StructType([StructField(INDEX_COLUMN, LongType())] + schema.fields) if index else schema
     df = (spark.read.option("sep", "\t").option("header", True)
-          .option("nullValue", "\\N").option("emptyValue", "").schema(full).csv(path))
+          .option("nullValue", "\\N").schema(full).csv(path))
     return df.drop(INDEX_COLUMN) if index else df
