@@ -27,25 +27,29 @@ def lag_autocorrelation(df: DataFrame, group: str, order: list[str], value: str,
     are all present too, so a second window over those few rows gives exactly the missing products.
     """
     time = F.unix_micros(F.col(order[0]).cast("timestamp"))
-    sizes = df.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > rows_per_chunk)
-    hot = small_side(df.join(small_side(sizes), group).groupBy(group).agg(
-        F.percentile_approx(time, [i / 256 for i in range(1, 256)], 10_000).alias("_cuts")))
-    late = F.size(F.filter(F.col("_cuts"), lambda c: c < time))
-    rows = (df.select(group, *order, value).join(hot, group, "left")
-            .withColumn("_chunk", F.coalesce(F.when(F.col("_cuts").isNotNull(), late), F.lit(0)))
-            .withColumn("_hot", F.col("_cuts").isNotNull()).drop("_cuts"))
+    rows = df.select(group, *order, value)
+    sizes = df.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > rows_per_chunk).persist()
+    any_hot = not sizes.isEmpty()
+    if any_hot:
+        hot = df.join(small_side(sizes), group).groupBy(group).agg(
+            F.percentile_approx(time, [i / 256 for i in range(1, 256)], 10_000).alias("_cuts"))
+        late = F.size(F.filter(F.col("_cuts"), lambda c: c < time))
+        rows = rows.join(small_side(hot), group, "left").withColumn(
+            "_chunk", F.when(F.col("_cuts").isNotNull(), late).otherwise(-1)).drop("_cuts")
+    else:
+        rows = rows.withColumn("_chunk", F.lit(-1))
 
     chunk = Window.partitionBy(group, "_chunk").orderBy(*order)
     whole = chunk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    inner = rows.select(group, *order, value, "_chunk", "_hot",
+    inner = rows.select(group, *order, value, "_chunk",
                         F.row_number().over(chunk).alias("_rn"), F.count("*").over(whole).alias("_size"),
                         *_lagged_products(rows, chunk, value, max_lag))
     sums = [F.sum(f"_p{k}").alias(f"_p{k}") for k in range(1, max_lag + 1)]
     parts = inner.groupBy(group).agg(*sums)
 
-    if hot.count():
+    if any_hot:
         edge = (F.col("_rn") <= max_lag) | (F.col("_rn") > F.col("_size") - max_lag)
-        rim = inner.where(F.col("_hot") & edge).select(group, *order, value, "_chunk")
+        rim = inner.where((F.col("_chunk") >= 0) & edge).select(group, *order, value, "_chunk")
         along = Window.partitionBy(group).orderBy("_chunk", *order)
         crosses = lambda k, w: F.lead("_chunk", k).over(w) != F.col("_chunk")
         across = rim.select(group, *_lagged_products(rim, along, value, max_lag, crosses))

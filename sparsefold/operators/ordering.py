@@ -34,10 +34,10 @@ def rank_cuts(keyed: DataFrame, strata: list[str], hashed: str, row_id: str, ran
     """(strata..., cuts): the hash and id found at given ranks of each stratum's hash order.
 
     ``keyed`` holds strata, a hex hash and an id per row. ``ranks`` maps the stratum size column to an
-    array of ranks. Buckets are counted by hash prefix (4,096 per stratum), and only the few buckets that
+    array of ranks. Buckets are counted by hash prefix (65,536 per stratum), and only the few buckets that
     contain a wanted rank are sorted. Rank 0 gives no cut, as no row lies at or below it.
     """
-    prefix = F.substring(hashed, 1, 3)
+    prefix = F.substring(hashed, 1, 4)
     sizes = keyed.groupBy(*strata, prefix.alias("_b")).agg(F.count("*").alias("_n"))
     run = Window.partitionBy(*strata).orderBy("_b")
     whole = Window.partitionBy(*strata)

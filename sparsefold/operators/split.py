@@ -26,12 +26,15 @@ def split_fractions(df: DataFrame, row_id: str, fractions: list[float], names: l
     def ranks(n: Column) -> Column:
         return F.array(*[F.round(n * F.lit(e)).cast("bigint") for e in edges])
 
-    # A single stratum, so a single row of cuts. Cuts at rank 0 are missing from it, hence counted as passed.
-    found = rank_cuts(keyed.select("_all", "_h", row_id), ["_all"], "_h", row_id, ranks)
-    cuts = F.col("cuts")
-    passed = cuts_passed(cuts, "_h", row_id) + F.lit(len(edges)) - F.coalesce(F.size(cuts), F.lit(0))
+    # One cut per edge, as literals. Cuts at rank 0 are missing, hence counted as passed.
+    found = rank_cuts(keyed.select("_all", "_h", row_id), ["_all"], "_h", row_id, ranks).head()
+    cuts = found["cuts"] if found else []
+    h, i = F.col("_h"), F.col(row_id)
+    passed = F.lit(len(edges) - len(cuts))
+    for cut in cuts:
+        passed = passed + ((h > cut["h"]) | ((h == cut["h"]) & (i > cut["id"]))).cast("int")
     name = F.array(*map(F.lit, names))
-    return keyed.join(small_side(found), "_all", "left").select(*df.columns, name[passed.cast("int")].alias(out))
+    return keyed.select(*df.columns, name[passed].alias(out))
 
 
 def with_test_part(df: DataFrame, row_id: str, seed: int = 1, test: float = 0.2) -> DataFrame:

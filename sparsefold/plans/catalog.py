@@ -234,7 +234,7 @@ def doc_graph_edges(spark, base):
 
 
 def record_fingerprint(spark, base) -> DataFrame:
-    g = graph.token_graph(labelled_records(spark, base), "doc_id", "text")
+    g = settle(graph.token_graph(labelled_records(spark, base), "doc_id", "text"), merge=False)
     names = graph.neighbourhood_labels(graph.graph_nodes(g, "doc_id"), graph.graph_edges(g, "doc_id"), "doc_id")
     return graph.neighbourhood_fingerprint(names, "doc_id", FOLD_BITS)
 
@@ -314,7 +314,7 @@ def bit_positive_rate(spark, base):
 
 
 def significant(spark, base):
-    return bitstats.significant_bits(bitstats.chi2_bits(record_words(spark, base, SIG_BITS)))
+    return bitstats.significant_bits(settle(bitstats.chi2_bits(record_words(spark, base, SIG_BITS))))
 
 
 @query
