@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sparsefold.llm import pii, secrets, urls
+from sparsefold.llm import bktree, pii, secrets, simhash, urls
 from sparsefold.llm.shared import table, whole
 
 Listed = tuple[str, ...]
@@ -50,5 +50,22 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op3_secrets": op3_secrets, "op5_urls": op5_urls}
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``n_within``: for every 50th id, the other documents whose fingerprints differ in 3 bits or fewer."""
+    rows = simhash.fingerprint_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    asked = F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))
+    near = simhash.counted_within(rows, asked)
+    return rows.join(near, "fp", "left").select(
+        "doc_id", "n_chars", "edited_sha256", simhash.hex64(F.col("fp")).alias("fingerprint"), simhash.hex64(F.col("edited_fp")).alias("edited_fingerprint"),
+        simhash.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), simhash.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        F.when(asked, F.col("n") - 1).alias("n_within"))
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bktree.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op1_pii": op1_pii, "op3_secrets": op3_secrets, "op5_urls": op5_urls, "op9_fingerprints": op9_fingerprints,
+           "op10_near_duplicates": op10_near_duplicates}
 ORACLES: dict[str, str] = {}
