@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sparsefold.llm import bktree, pii, secrets, simhash, urls
+from sparsefold.llm import bktree, chat, mixing, pieces, pii, secrets, simhash, toxicity, urls, vptree
 from sparsefold.llm.shared import table, whole
 
 Listed = tuple[str, ...]
@@ -66,6 +66,34 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_pii": op1_pii, "op3_secrets": op3_secrets, "op5_urls": op5_urls, "op9_fingerprints": op9_fingerprints,
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.fit(docs, table(spark, sf_dir, "labels")).score(docs, "text")
+    held_out = F.coalesce(toxicity.part_of(F.col("doc_id")) == toxicity.HELD_OUT, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.coalesce(F.col("vec_id") % 100 == 0, F.lit(False)))
+
+
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, pieces.load()).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.col("ids_decoded").alias("decoded"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                F.lit("</s>[INST] ok [/INST]").alias("text"))
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    return chat.read_back(chat.format_chats(turns.unionByName(own)))
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_mixing": op2_mixing, "op3_secrets": op3_secrets, "op4_toxicity": op4_toxicity, "op5_urls": op5_urls,
+           "op6_nearest": op6_nearest, "op7_pieces": op7_pieces, "op8_chat": op8_chat, "op9_fingerprints": op9_fingerprints,
            "op10_near_duplicates": op10_near_duplicates}
 ORACLES: dict[str, str] = {}
