@@ -8,7 +8,7 @@ ties included. Shards and blocks of queries meet by an equi-join on the shard; e
 
 Distances are Euclidean on the original numbers in double precision. Vectors that are null, zero, or hold null or
 non-finite components take no part; queries meet rows of their own dimension only. Rows without an id take no part. A
-row never finds its own id; repeated ids are separate rows. An empty table gives an empty one, further columns are
+row never finds its own id; rows that repeat an id are found separately, and the least vector of them asks for all. An empty table gives an empty one, further columns are
 not read.
 """
 
@@ -153,7 +153,8 @@ def nearest(vectors: DataFrame, asked: Column, k: int = K, factor: float = FACTO
     blocks = max([1, *(-(-q // block_queries) for _, q in dims.values())])
     spread = lambda n, what: F.pmod(F.xxhash64(F.lit(what), "vec_id"), F.lit(n))
     dealt = rows.select("vec_id", "v", "dim", spread(shards, "shard").alias("shard"))
-    queries = rows.where("asked").select("vec_id", "v", "dim", spread(blocks, "block").alias("block"))
+    first = rows.where("asked").groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("q")).select("vec_id", "q.v", "q.dim")
+    queries = first.select("vec_id", "v", "dim", spread(blocks, "block").alias("block"))
     # Every block of queries is taken to every shard of its dimension, and every shard's rows to each block.
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
     left = dealt.withColumn("block", every(blocks)).groupBy("dim", "shard", "block")
