@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparsefold.llm import bktree, chat, mixing, pieces, pii, secrets, simhash, toxicity, urls, vptree
-from sparsefold.llm.shared import table, whole
-
-Listed = tuple[str, ...]
+from sparsefold.llm.oracles import ORACLES as ORACLES
+from sparsefold.llm.shared import table
 
 
 def joined_spans(spans: Column) -> Column:
@@ -96,4 +95,3 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_pii": op1_pii, "op2_mixing": op2_mixing, "op3_secrets": op3_secrets, "op4_toxicity": op4_toxicity, "op5_urls": op5_urls,
            "op6_nearest": op6_nearest, "op7_pieces": op7_pieces, "op8_chat": op8_chat, "op9_fingerprints": op9_fingerprints,
            "op10_near_duplicates": op10_near_duplicates}
-ORACLES: dict[str, str] = {}
