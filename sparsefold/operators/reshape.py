@@ -13,33 +13,19 @@ def melt(df: DataFrame, row_id: str, cols: list[str]) -> DataFrame:
         row_id, cols, "feature", "value")
 
 
-def family_columns(columns: list[str], family: str) -> list[str]:
-    """Columns of a wide table whose name contains the family name."""
-    return [c for c in columns if family in c]
-
-
 def drop_listed(long: DataFrame, names: DataFrame, col: str = "feature") -> DataFrame:
     """Remove the features of a one-column list."""
     return long.join(small_side(names), col, "left_anti")
 
 
-def keep_listed(long: DataFrame, names: DataFrame, col: str = "feature") -> DataFrame:
-    return long.join(small_side(names), col, "left_semi")
-
-
-def feature_heads(long: DataFrame, row_id: str, k: int) -> DataFrame:
-    """(feature, n, values): each feature's value count and its first k values in row order.
-
-    A feature has one value per record, so a whole column is never gathered: ranking is cut to k rows
-    per map task (Spark's window group limit) before the shuffle, and the count is a partial aggregate.
+def feature_chunks(long: DataFrame, row_id: str, chunk_rows: int = 256) -> DataFrame:
+    """(feature, chunk, n, values): every feature's whole column as arrays of rows whose ids share id div ``chunk_rows``,
+    in row order. A feature has one value per record, so an array holds ``chunk_rows`` values at most and none is unbounded.
     """
-    w = Window.partitionBy("feature").orderBy(row_id)
-    head = (long.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
-            .groupBy("feature")
-            .agg(F.transform(F.sort_array(F.collect_list(F.struct("_rn", "value"))), lambda s: s["value"])
-                 .alias("values")))
-    counts = long.groupBy("feature").agg(F.count("*").alias("n"))
-    return counts.join(head, "feature")
+    rows = long.withColumn("chunk", F.floor(F.col(row_id) / chunk_rows))
+    cells = F.sort_array(F.collect_list(F.struct(F.col(row_id).alias("i"), F.col("value").alias("v"))))
+    return (rows.groupBy("feature", "chunk").agg(F.count("*").alias("n"), cells.alias("_c"))
+            .select("feature", "chunk", "n", F.transform("_c", lambda c: c["v"]).alias("values")))
 
 
 def pivot_square(pairs: DataFrame, row: str, col: str, value: str, order: list[int], prefix: str) -> DataFrame:

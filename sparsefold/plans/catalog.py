@@ -77,10 +77,10 @@ def src_labelled_records(spark, base):
 
 @query
 def src_tsv_roundtrip(spark, base):
-    customer = table(spark, base, "customer")
+    docs = table(spark, base, "documents")
     path = shared_dir(spark)
-    write_tsv(customer, path, index=True)
-    return read_tsv(spark, path, customer.schema, index=True)
+    write_tsv(docs, path, index=True)
+    return read_tsv(spark, path, docs.schema, index=True)
 
 
 # Labels and reshaping
@@ -151,9 +151,9 @@ def melt_features(spark, base):
 
 @query
 def feature_as_array(spark, base):
-    heads = reshape.feature_heads(reshape.melt(described(spark, base), "doc_id", DESC), "doc_id", 5)
+    chunks = reshape.feature_chunks(reshape.melt(described(spark, base), "doc_id", DESC), "doc_id")
     text = F.array_join(F.transform("values", lambda v: F.coalesce(F.round(v * 1000).cast("bigint").cast("string"), F.lit("?"))), ",")
-    return heads.select("feature", "n", text.alias("first5"))
+    return chunks.select("feature", "chunk", "n", text.alias("column"))
 
 
 @query
@@ -234,9 +234,7 @@ def doc_graph_edges(spark, base):
 
 
 def record_fingerprint(spark, base) -> DataFrame:
-    g = settle(graph.token_graph(labelled_records(spark, base), "doc_id", "text"), merge=False)
-    names = graph.neighbourhood_labels(graph.graph_nodes(g, "doc_id"), graph.graph_edges(g, "doc_id"), "doc_id")
-    return graph.neighbourhood_fingerprint(names, "doc_id", FOLD_BITS)
+    return graph.neighbourhood_fingerprint(graph.token_graph(labelled_records(spark, base), "doc_id", "text"), "doc_id", FOLD_BITS)
 
 
 @query
@@ -263,13 +261,11 @@ def autocorr_distance(spark, base):
     return out.select("vec_id", "bin", *r6("ac"))
 
 
-def labelled_coordinates(spark, base, dims) -> DataFrame:
-    cols = [F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(dims)]
-    return table(spark, base, "embeddings").select("label", *cols)
+DIMS = 64
 
 
 def label_covariance(spark, base):
-    return moments.group_covariance(labelled_coordinates(spark, base, 3), "label", ["x0", "x1", "x2"])
+    return moments.group_covariance(table(spark, base, "embeddings"), "label", "embedding", DIMS)
 
 
 @query
@@ -279,7 +275,7 @@ def group_covariance(spark, base):
 
 @query
 def group_pca_moments(spark, base):
-    lam = moments.group_principal_moments(label_covariance(spark, base), "label", 3)
+    lam = moments.group_principal_moments(label_covariance(spark, base), "label", DIMS)
     return lam.groupBy("label").agg(F.round(F.sum("moment"), 8).alias("trace"),
                                     F.round(F.sum(F.col("moment") * F.col("moment")), 8).alias("sum_sq"))
 
@@ -509,23 +505,23 @@ def kpca_components(spark, base):
 # Resampling
 
 
-def two_scaled(spark, base) -> DataFrame:
-    """(doc_id, y, x): two scaled descriptors of the labelled records."""
-    rows = labelled_records(spark, base).select("doc_id", "y", "n_chars", F.length(F.regexp_replace("text", "[^a-z]", "")).alias("n_lower"))
-    cols = ["n_chars", "n_lower"]
-    rows = rows.select("doc_id", "y", *[F.col(c).cast("double").alias(c) for c in cols])
-    scaled = clean.apply_scaler(rows, clean.fit_scaler(rows, cols, "maxabs"), cols)
-    return settle(scaled.select("doc_id", "y", F.array(*cols).alias("x"))).persist()
+def all_scaled(spark, base) -> DataFrame:
+    """(doc_id, y, x): the scaled descriptors of the labelled records, missing ones 0."""
+    rec = labelled_records(spark, base).select("doc_id", "y", "text")
+    desc = descriptors.scalar_descriptors(rec, "doc_id", "text", keep=("y",))
+    rows = settle(desc.select("doc_id", "y", *[F.coalesce(F.round(c, 6), F.lit(0.0)).alias(c) for c in DESC]))
+    scaled = clean.apply_scaler(rows, clean.fit_scaler(rows, DESC, "maxabs"), DESC)
+    return settle(scaled.select("doc_id", "y", F.array(*DESC).alias("x")))
 
 
 @query
 def knn_minority(spark, base):
-    small = two_scaled(spark, base).where("y = 0")
+    small = all_scaled(spark, base).where("y = 0")
     return neighbours.nearest_neighbours(small, small, "doc_id", "x", 5).select("doc_id", "nbr", F.col("rn").cast("int").alias("rn"))
 
 
 def balance(spark, base, ratio) -> DataFrame:
-    out = resample.smote(two_scaled(spark, base), "doc_id", "y", "x", ratio)
+    out = resample.smote(all_scaled(spark, base), "doc_id", "y", "x", ratio)
     original = F.when(F.col("base").isNull(), 1)
     return out.groupBy("y").agg(F.count(original).alias("n_before"), F.count("*").alias("n_after"))
 
@@ -543,7 +539,7 @@ def smote_ratio_counts(spark, base):
 @query
 def smote_rows(spark, base):
     """Counts, and how many synthetic rows leave the box spanned by base - half a step and the neighbour."""
-    rows = two_scaled(spark, base)
+    rows = all_scaled(spark, base)
     out = resample.smote(rows, "doc_id", "y", "x").select("y", "x", "base", "nbr", "step")
     at = rows.select("doc_id", F.col("x").alias("p"))
     made = (out.where(F.col("base").isNotNull()).join(at.withColumnsRenamed({"doc_id": "base", "p": "a"}), "base")

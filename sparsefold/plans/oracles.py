@@ -156,20 +156,22 @@ POINTS = """pt AS (SELECT vec_id, i, embedding[4*i+1]::DOUBLE AS x, embedding[4*
 pp AS (SELECT a.vec_id, least(floor(sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) / 0.1), 9)::INTEGER AS bin, a.w * b.w AS w
     FROM pt a JOIN pt b ON a.vec_id = b.vec_id AND a.i < b.i)"""
 COORDS = ["embedding[1]::DOUBLE", "embedding[2]::DOUBLE", "embedding[3]::DOUBLE"]
-COV = " UNION ALL ".join(
-    f"SELECT label, {i}::INTEGER AS i, {j}::INTEGER AS j, covar_pop({COORDS[i]}, {COORDS[j]}) AS cov FROM embeddings GROUP BY label"
-    for i in range(3) for j in range(i, 3))
+COV = """SELECT label, a.i::INTEGER AS i, b.j::INTEGER AS j, covar_pop(embedding[a.i + 1]::DOUBLE, embedding[b.j + 1]::DOUBLE) AS cov
+    FROM embeddings, range(64) a(i), range(64) b(j) WHERE a.i <= b.j GROUP BY 1, 2, 3"""
 MASKED = "CASE WHEN abs(o_totalprice) <= 100000 THEN o_totalprice END"
 
 GRAM = """g AS (SELECT a.vec_id AS a, (0.001::DOUBLE * list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) ** 2 AS k,
     (0.001::DOUBLE * list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) + 1) ** 2 AS own FROM embeddings a, embeddings b)"""
-TWO = f"""{REC}, raw AS (SELECT doc_id, y, n_chars::DOUBLE AS u, length(regexp_replace(text, '[^a-z]', '', 'g'))::DOUBLE AS v FROM rec),
-two AS (SELECT doc_id, y, u / (SELECT max(u) FROM raw) AS u, v / (SELECT max(v) FROM raw) AS v FROM raw)"""
+SCALED = f"""{REC}, dt AS (SELECT doc_id, y, text, {TOK} AS t FROM rec),
+raw AS (SELECT doc_id, y, {", ".join(f"coalesce(round(({RAW_DESC[c]})::DOUBLE, 6), 0) AS {c}" for c in DESC)} FROM dt),
+top AS (SELECT {", ".join(f"coalesce(nullif(max(abs({c})), 0), 1) AS {c}_m" for c in DESC)} FROM raw),
+pts AS (SELECT doc_id, y, {", ".join(f"{c} / {c}_m AS {c}" for c in DESC)} FROM raw, top)"""
+GAP = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in DESC)
 CLASSES = f"{REC}, c AS (SELECT y, count(*) AS n FROM rec GROUP BY y), cls AS (SELECT y, n, (SELECT max(n) FROM c) AS top FROM c)"
 
 ORACLES = {
     "src_labelled_records": f"WITH {REC} SELECT doc_id, y, n_chars FROM rec",
-    "src_tsv_roundtrip": "SELECT * FROM customer",
+    "src_tsv_roundtrip": "SELECT * FROM documents",
     "label_recode": """SELECT doc_id, CASE quality WHEN 1 THEN 'Permeable' WHEN 0 THEN 'Non_permeable' END AS target,
         quality AS target_num FROM labels""",
     "label_index_alpha": "SELECT lang, (dense_rank() OVER (ORDER BY lang) - 1)::INTEGER AS code, count(*) AS n FROM documents GROUP BY lang",
@@ -181,10 +183,9 @@ ORACLES = {
     "assemble_families": f"""WITH {FEATURES} SELECT doc_id, count(*) FILTER (family = 'ng') AS n_bits,
         count(*) FILTER (family = 'key') AS n_keys, count(*) FILTER (family = 'num') AS n_nums FROM f GROUP BY doc_id""",
     "melt_features": f"WITH {DESC_CTE}, {MELT} SELECT doc_id, feature, round(value, 6) AS value FROM melted",
-    "feature_as_array": f"""WITH {DESC_CTE}, {MELT}, o AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY doc_id) AS rn
-        FROM melted)
-        SELECT feature, count(*) AS n, string_agg(coalesce(round(value * 1000)::BIGINT::VARCHAR, '?'), ',' ORDER BY rn)
-        FILTER (rn <= 5) AS first5 FROM o GROUP BY feature""",
+    "feature_as_array": f"""WITH {DESC_CTE}, {MELT}
+        SELECT feature, floor(doc_id / 256)::BIGINT AS chunk, count(*) AS n,
+        string_agg(coalesce(round(value * 1000)::BIGINT::VARCHAR, '?'), ',' ORDER BY doc_id) AS "column" FROM melted GROUP BY 1, 2""",
     "similarity_pivot": f"WITH {pairs(16)} SELECT i::INTEGER AS bit_1, "
         + ", ".join(f"round(max(sim) FILTER (b = {c}), 6) AS c_{c}" for c in range(16))
         + " FROM range(16) s(i) LEFT JOIN sim ON a = i GROUP BY 1",
@@ -276,9 +277,9 @@ ORACLES = {
         r AS (SELECT i, avg(k) AS m FROM k GROUP BY i), g AS (SELECT avg(k) AS m FROM k),
         c AS (SELECT k.i, k.j, k.k - p.m - q.m + g.m AS k FROM k JOIN r p ON p.i = k.i JOIN r q ON q.i = k.j, g)
         SELECT round(sum(k) FILTER (i = j), 4) AS trace, round(sum(k * k), 2) AS sum_sq_sq FROM c""",
-    "knn_minority": f"""WITH {TWO}, d AS (SELECT a.doc_id, b.doc_id AS nbr,
-        row_number() OVER (PARTITION BY a.doc_id ORDER BY (a.u - b.u) ** 2 + (a.v - b.v) ** 2, b.doc_id)::INTEGER AS rn
-        FROM two a JOIN two b ON a.doc_id <> b.doc_id WHERE a.y = 0 AND b.y = 0) SELECT doc_id, nbr, rn FROM d WHERE rn <= 5""",
+    "knn_minority": f"""WITH {SCALED}, d AS (SELECT a.doc_id, b.doc_id AS nbr,
+        row_number() OVER (PARTITION BY a.doc_id ORDER BY {GAP}, b.doc_id)::INTEGER AS rn
+        FROM pts a JOIN pts b ON a.doc_id <> b.doc_id WHERE a.y = 0 AND b.y = 0) SELECT doc_id, nbr, rn FROM d WHERE rn <= 5""",
     "smote_balance_counts": f"WITH {CLASSES} SELECT y, n AS n_before, greatest(n, top) AS n_after FROM cls",
     "smote_ratio_counts": f"""WITH {CLASSES} SELECT y, n AS n_before, CASE WHEN n = top THEN n ELSE floor(top * 1.5)::BIGINT END AS n_after
         FROM cls""",

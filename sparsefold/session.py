@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 from multiprocessing.pool import ThreadPool
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BROADCAST_ROW_LIMIT = 200_000
 ROWS_PER_TASK = 10_000
 PARALLEL_FITS = 4
+STORED: list[str] = []
 
 
 def build_session(cpus: int | str = "*", app: str = "sparsefold", shuffle_partitions: int = 8) -> SparkSession:
@@ -35,17 +35,20 @@ def build_session(cpus: int | str = "*", app: str = "sparsefold", shuffle_partit
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under the one the session names in ``spark.checkpoint.dir``.
+    """A fresh folder under the one the session names in ``spark.checkpoint.dir``, else under its warehouse: both are
+    folders that every executor can reach."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "stored")
+    path = os.path.join(base, f"sparsefold-{uuid.uuid4().hex}")
+    STORED.append(path)
+    return path
 
-    Only a local session without that setting falls back to a temporary folder: on a cluster the
-    executors would not see it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="sparsefold-")
-    return os.path.join(base, f"sparsefold-{uuid.uuid4().hex}")
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete the tables stored so far. For when no result that reads them is still to be computed."""
+    jvm = spark.sparkContext._jvm
+    while STORED:
+        path = jvm.org.apache.hadoop.fs.Path(STORED.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
@@ -58,10 +61,18 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
 
 
-def accumulator_tasks(spark: SparkSession) -> int:
-    """How many tasks should each hold a partial matrix: enough for every core, and no more, because each
-    emits a whole matrix. Partitions are merged down to this without a shuffle."""
-    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def for_matrices(df: DataFrame, rows_per_matrix: int = 1_000_000) -> DataFrame:
+    """Store compact rows whose tasks will each add up a whole matrix, and read them back in few enough tasks.
+
+    What makes the rows (text work) keeps the partitions of its scan; only the stored numbers are merged, to a task
+    per ``rows_per_matrix`` rows, and to a few at least where there are fewer.
+    """
+    stored = settle(df, merge=False)
+    return stored.coalesce(matrix_tasks(stored, rows_per_matrix))
+
+
+def matrix_tasks(stored: DataFrame, rows_per_matrix: int = 1_000_000) -> int:
+    return max(8, -(-stored.count() // rows_per_matrix))
 
 
 def in_threads(fn: Callable, items: list, parallel: int = PARALLEL_FITS) -> list:

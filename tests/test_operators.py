@@ -163,8 +163,9 @@ def test_isolated_node_still_gets_labels(spark):
     df = spark.createDataFrame([(1, "solo"), (2, "a b a a")], "id bigint, text string")
     g = graph.token_graph(df, "id", "text")
     assert rows(graph.graph_edges(g, "id")) == [(2, "a", "b")]
-    names = graph.neighbourhood_labels(graph.graph_nodes(g, "id"), graph.graph_edges(g, "id"), "id")
-    assert rows(names.groupBy("id").count()) == [(1, 3), (2, 6)]
+    names = graph.neighbourhood_fingerprint(g, "id", 1 << 30)
+    assert rows(names.groupBy("id").agg(F.sum("n"))) == [(1, 3), (2, 6)]
+    assert "Exchange" not in names._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("limit", [1_000_000, 20])
@@ -186,7 +187,7 @@ def test_lag_autocorrelation_with_and_without_hot_groups(spark, limit):
 def test_principal_moments_equal_numpy(spark):
     x = np.random.default_rng(8).normal(size=(30, 3)) @ np.diag([3, 2, 1])
     df = spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, a double, b double, c double")
-    lam = [r["moment"] for r in moments.group_principal_moments(moments.group_covariance(df, "g", ["a", "b", "c"]), "g", 3).orderBy("component").collect()]
+    lam = [r["moment"] for r in moments.group_principal_moments(moments.group_covariance(df.withColumn("x", F.array("a", "b", "c")), "g", "x", 3), "g", 3).orderBy("component").collect()]
     assert lam == pytest.approx(sorted(np.linalg.eigvalsh(np.cov(x.T, bias=True)))[::-1])
 
 
@@ -199,6 +200,18 @@ def test_leverage_is_the_hat_diagonal(spark):
     assert got[9] == 1.0
 
 
+def test_leverage_with_several_regressors_null_groups_and_missing_values(spark):
+    x = np.random.default_rng(3).normal(size=(12, 3)) + 100
+    x[:, 2] = x[:, 0] + x[:, 1]  # adds no direction
+    data = [(i, None if i < 6 else "g", *map(float, r)) for i, r in enumerate(x)] + [(50, "g", None, 1.0, 1.0)]
+    df = spark.createDataFrame(data, "id int, g string, a double, b double, c double")
+    got = {r["id"]: r["h"] for r in moments.group_leverage(df, "id", "g", ["a", "b", "c"]).collect()}
+    assert got.pop(50) is None and len(got) == 12
+    for own in (range(6), range(6, 12)):
+        d = np.column_stack([np.ones(6), x[list(own), :2]])
+        assert [got[i] for i in own] == pytest.approx(np.diag(d @ np.linalg.inv(d.T @ d) @ d.T))
+
+
 def test_fractions_are_exact_disjoint_and_checked(spark):
     df = spark.range(997).withColumnRenamed("id", "doc")
     parts = split.split_fractions(df, "doc", [0.7, 0.2, 0.1], ["a", "b", "c"], 3)
@@ -238,6 +251,39 @@ def test_tsv_keeps_nulls_tabs_and_empty_strings(spark, tmp_path):
     assert rows(read_tsv(spark, str(tmp_path / "t"), df.schema, index=True), "id") == rows(df, "id")
 
 
+def test_tsv_keeps_line_breaks_blanks_and_backslashes(spark, tmp_path):
+    odd = ["a\nb", " x ", "\t", "\r\n", "\\", "\\n", "\\\n", "\\N", "\\e", "\\q", '"', '""', "#c", ",", "é 日", " "]
+    df = spark.createDataFrame(list(enumerate(odd)), "id int, s string")
+    write_tsv(df, str(tmp_path / "t"))
+    assert rows(read_tsv(spark, str(tmp_path / "t"), df.schema), "id") == rows(df, "id")
+
+
+def test_chi2_of_one_class_is_missing(spark):
+    df = spark.createDataFrame([([1, 2], 1), ([1], 1)], "bits array<int>, y int")
+    assert rows(bitstats.chi2_bits(df).select("bit", "support", "chi2")) == [(1, 2, None), (2, 1, None)]
+
+
+def test_auc_leaves_missing_scores_out_and_counts_them(spark):
+    df = spark.createDataFrame([("m", 1, 0.9), ("m", 0, 0.1), ("m", 1, None)], "model string, actual int, prob double")
+    assert evaluate.auc(df, ["model"]).head()["auc"] == 1.0
+    assert evaluate.unscored(df, ["model"]).head()["n"] == 1
+
+
+def test_workers_need_no_package_on_their_path(tmp_path):
+    code = ("import sys; sys.path.insert(0, %r)\n"
+            "from sparsefold.session import build_session\nfrom sparsefold.operators.neighbours import nearest_neighbours\n"
+            "spark = build_session(2)\ndf = spark.createDataFrame([(1, [0.0]), (2, [1.0])], 'id long, x array<double>')\n"
+            "print('rows', nearest_neighbours(df, df, 'id', 'x', 1).count())")
+    import os
+    import subprocess
+    import sys
+
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", code % root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "rows 2" in said.stdout, said.stderr[-2000:]
+
+
 def test_stores_round_trip(spark, tmp_path):
     train = spark.createDataFrame([(1.0,), (3.0,)], "v double")
     stores.save_params(clean.fit_scaler(train, ["v"]), str(tmp_path / "p"))
