@@ -2,33 +2,24 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 from itertools import count
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sparsefold.session import shared_dir
+
 
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` under the shared folder named by ``spark.checkpoint.dir`` and read it back.
 
-    Cuts the lineage at a table that every executor can reach, so a lost executor costs no recomputation. The folder's
-    own retention removes the tables, as results read them lazily. Only a local session without the setting (tests)
-    gets a temporary folder.
+    Cuts the lineage at a table that every executor can reach, so a lost executor costs no recomputation. Results read the
+    tables lazily; ``sparsefold.session.drop_stored`` deletes them once nothing is left to compute.
     """
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = os.path.join(base, f"llm-{uuid.uuid4().hex}")
+    path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
