@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sparsefold.session import small_side
 
 
+SAMPLED = 64
+
+
 def _lagged_products(df: DataFrame, window, value: str, max_lag: int, accept=None) -> list[Column]:
     cols = []
     for k in range(1, max_lag + 1):
@@ -19,10 +22,11 @@ def _lagged_products(df: DataFrame, window, value: str, max_lag: int, accept=Non
 
 def lag_autocorrelation(df: DataFrame, group: str, order: list[str], value: str, max_lag: int = 8,
                         rows_per_chunk: int = 1_000_000) -> DataFrame:
-    """(group, lag, ac): sum of x[t] * x[t+lag] over each group's sequence; ``order[0]`` is a timestamp.
+    """(group, lag, ac): sum of x[t] * x[t+lag] over each group's sequence; ``order`` is a timestamp and a bigint that tells
+    rows of one time apart.
 
-    A group larger than ``rows_per_chunk`` is cut at quantiles of its own time axis, so that no task
-    sorts an unbounded group. Products inside a chunk come from a window per chunk. Products across a
+    A group larger than ``rows_per_chunk`` is cut into as many chunks as its count asks for: at quantiles of its own time
+    axis, and rows of one time by quantiles of their numbers, so that no task sorts an unbounded group. Products inside a chunk come from a window per chunk. Products across a
     cut need only the first and last ``max_lag`` rows of each chunk: between two such rows the others
     are all present too, so a second window over those few rows gives exactly the missing products.
     """
@@ -31,11 +35,15 @@ def lag_autocorrelation(df: DataFrame, group: str, order: list[str], value: str,
     sizes = df.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > rows_per_chunk).persist()
     any_hot = not sizes.isEmpty()
     if any_hot:
-        hot = df.join(small_side(sizes), group).groupBy(group).agg(
-            F.percentile_approx(time, [i / 256 for i in range(1, 256)], 10_000).alias("_cuts"))
-        late = F.size(F.filter(F.col("_cuts"), lambda c: c < time))
-        rows = rows.join(small_side(hot), group, "left").withColumn(
-            "_chunk", F.when(F.col("_cuts").isNotNull(), late).otherwise(-1)).drop("_cuts")
+        # A sample of rows by hash holds some 64 of each chunk; every 64th in order is a cut. Only sampled rows are sorted.
+        sampled = (df.join(small_side(sizes.select(F.col(group).alias("_g"))), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+                   .where(F.pmod(F.xxhash64(*order), F.lit(max(1, rows_per_chunk // SAMPLED))) == 0))
+        place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+        cut = (sampled.select(group, time.alias("_t"), F.col(order[1]).alias("_i"), place.alias("_rn")).where(F.col("_rn") % SAMPLED == 0))
+        cuts = cut.groupBy(F.col(group).alias("_g")).agg(F.array_sort(F.collect_list(F.struct("_t", "_i"))).alias("_cuts"))
+        late = F.size(F.filter("_cuts", lambda c: (c["_t"] < time) | ((c["_t"] == time) & (c["_i"] < F.col(order[1])))))
+        rows = rows.join(small_side(cuts), F.col(group).eqNullSafe(F.col("_g")), "left").withColumn(
+            "_chunk", F.when(F.col("_cuts").isNotNull(), late).otherwise(-1)).drop("_cuts", "_g")
     else:
         rows = rows.withColumn("_chunk", F.lit(-1))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparsefold.functions.hashing import hash_int, seeded_hash
@@ -15,7 +15,7 @@ from sparsefold.sources.tables import labelled_records, table
 from sparsefold.sources.tsv import read_tsv, write_tsv
 
 DESC = descriptors.DESCRIPTORS
-FOLD_BITS, SIG_BITS, SMALL_BITS = 1024, 4096, 16
+FOLD_BITS, SIG_BITS, SMALL_BITS, WIDE_BITS = 1024, 4096, 16, 1 << 20
 SEEDS = [1, 2, 3, 4, 5]
 
 QUERIES = {}
@@ -191,7 +191,10 @@ def join_features_outer(spark, base):
 
 @query
 def feature_pairs(spark, base):
-    return similarity.cooccurrence(record_bits(spark, base, FOLD_BITS), "doc_id", FOLD_BITS)
+    """Pairs of single-word bits that meet in a fifth of the labelled records."""
+    rec = record_words(spark, base, SIG_BITS)
+    pairs = similarity.cooccurrence(rec, "doc_id", SIG_BITS)
+    return pairs.where(F.col("both") * 5 >= rec.agg(F.count("*")).scalar())
 
 
 @query
@@ -370,6 +373,12 @@ def tanimoto_pairs(spark, base):
     return pairs.select("a", "b", "both", *r6("sim"))
 
 
+@query
+def tanimoto_rows(spark, base):
+    bits = fingerprint.with_ngram_bits(documents(spark, base).select("doc_id", "text"), "text", WIDE_BITS)
+    return similarity.tanimoto_rows(bits, "doc_id", 0.95).select("doc_id", "nbr", *r6("sim"))
+
+
 @query
 def prune_tanimoto(spark, base):
     pairs = similarity.tanimoto_pairs(record_bits(spark, base, SIG_BITS), "doc_id", SIG_BITS, 0.5)
@@ -497,9 +506,21 @@ def kpca_scores(spark, base):
     return lam.agg(F.round(F.sum("sum_sq"), 4).alias("trace"), F.round(F.sum(F.col("sum_sq") * F.col("sum_sq")), 2).alias("sum_sq_sq"))
 
 
+LANDMARKS = 512
+
+
 @query
-def kpca_components(spark, base):
-    return kernel.spectrum(record_scores(spark, base))
+def kpca_landmarks(spark, base):
+    """Kernel PCA of the key and n-gram columns (1,024 of them) by landmark rows: each row's squared length in the mapped space, which is
+    its kernel value with itself wherever the landmarks span it."""
+    docs = documents(spark, base).select("doc_id", "text")
+    bits = fingerprint.with_ngram_bits(docs, "text", FOLD_BITS, 1)
+    rows = settle(bits.select("doc_id", "bits"))
+    marks = kernel.choose_landmarks(rows.select("doc_id", kernel.dense_bits("bits", FOLD_BITS).alias("x")), "doc_id", "x", LANDMARKS)
+    mapped = kernel.landmark_features(rows.select("doc_id", array_to_vector(kernel.dense_bits("bits", FOLD_BITS)).alias("features")), marks)
+    own = F.aggregate(vector_to_array("_map"), F.lit(0.0), lambda a, v: a + v * v)
+    chosen = kernel.landmark_order(rows, "doc_id", LANDMARKS).select("doc_id", F.lit(True).alias("is_landmark"))
+    return (mapped.select("doc_id", own.alias("own")).join(chosen, "doc_id").select("doc_id", *r6("own")))
 
 
 # Resampling
@@ -572,7 +593,7 @@ def lasso_select(spark, base):
 @query
 def forward_select(spark, base):
     rows = described_vectors(spark, base).select("doc_id", "y", "x")
-    return select.forward_select(rows, "doc_id", DESC, folds=2, most=2)
+    return select.forward_select(rows, "doc_id", DESC)
 
 
 @query
@@ -614,13 +635,13 @@ def train_stacked(spark, base):
 @query
 def platt_calibrate(spark, base):
     rows = described_vectors(spark, base).select("doc_id", "y", "x")
-    return models.fit_linear_svm(rows, "doc_id", folds=3)(rows).select("doc_id", "y", *r6("prob"))
+    return models.fit_linear_svm(rows, "doc_id")(rows).select("doc_id", "y", *r6("prob"))
 
 
 @query
 def oof_predictions(spark, base):
     rows = described_vectors(spark, base).select("doc_id", "y", "x")
-    held = models.out_of_fold(rows, "doc_id", lambda part: models.fit_logistic(part), folds=3)
+    held = models.out_of_fold(rows, "doc_id", lambda part: models.fit_logistic(part))
     return held.select("doc_id", "fold", F.col("y").alias("actual"), *r6("prob"))
 
 

@@ -197,7 +197,16 @@ ORACLES = {
         SELECT bit, coef, row_number() OVER (ORDER BY abs(coef) DESC, bit)::INTEGER AS rank FROM c WHERE coef <> 0""",
     "join_features_outer": """SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, (d.doc_id IS NOT NULL)::INTEGER AS has_doc,
         (l.doc_id IS NOT NULL)::INTEGER AS has_label FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id""",
-    "feature_pairs": f"WITH {pairs(1024)} SELECT a, b, \"both\" FROM co",
+    "feature_pairs": f"""WITH {REC_BITS(4096, True)} SELECT a.bit AS a, b.bit AS b, count(*) AS "both" FROM rb a JOIN rb b ON a.doc_id = b.doc_id AND a.bit < b.bit
+        GROUP BY 1, 2 HAVING count(*) * 5 >= (SELECT count(*) FROM rec)""",
+    "tanimoto_rows": f"""WITH {bits('documents', 1 << 20)}, s AS (SELECT d.doc_id, list_sort(coalesce(list(bit) FILTER (bit IS NOT NULL), [])) AS b
+        FROM documents d LEFT JOIN bits USING (doc_id) GROUP BY d.doc_id),
+        f AS (SELECT b, min(doc_id) AS id, len(b) AS n FROM s GROUP BY b),
+        p AS (SELECT y.id AS doc_id, x.id AS nbr, len(list_intersect(x.b, y.b)) AS k, x.n + y.n AS n FROM f x JOIN f y ON x.id < y.id AND least(x.n, y.n) >= 0.95 * greatest(x.n, y.n) - 1e-9 AND x.n > 0 AND y.n > 0)
+        SELECT s.doc_id, f.id AS nbr, 1.0::DOUBLE AS sim FROM s JOIN f ON s.b = f.b WHERE s.doc_id <> f.id
+        UNION ALL SELECT doc_id, nbr, round(k::DOUBLE / (n - k), 6) FROM p WHERE k::DOUBLE / (n - k) >= 0.95""",
+    "kpca_landmarks": f"""WITH {bits('documents', 1024, True)}, n AS (SELECT d.doc_id, count(bit) AS n FROM documents d LEFT JOIN bits USING (doc_id) GROUP BY 1)
+        SELECT doc_id, round((0.001::DOUBLE * n + 1) * (0.001::DOUBLE * n + 1), 6) AS own FROM n ORDER BY md5(doc_id || '|1'), doc_id LIMIT 512""",
     "split_semi_join": f"WITH {PART} SELECT d.doc_id, source, n_chars FROM documents d JOIN part USING (doc_id) WHERE part = 'test'",
     "drop_listed_features": f"""WITH {pearson()}, {MELT} SELECT doc_id, feature, round(value, 6) AS value FROM melted
         WHERE feature NOT IN (SELECT f2 FROM pr WHERE abs(r) > 0.95 AND NOT isnan(r))""",

@@ -111,16 +111,18 @@ def test_tree_search_and_hot_block_values(spark):
     fps = sorted({*chain, *dense, *far})
     values = np.array(fps, dtype=np.uint64)
     for radius in (0, 2, 5):
-        pairs = {(int(a), int(b)) for x, y in bktree.search(values, bktree.plant(values, radius), np.arange(len(values)), radius) for a, b in zip(x, y, strict=True)}
         apart = np.bitwise_count(values[:, None] ^ values[None])
-        assert pairs == {(int(a), int(b)) for a, b in np.argwhere(apart <= radius)}
+        for tree in (np.zeros(len(values), dtype=np.int64), np.arange(len(values)) % 7):
+            child = bktree.plant(values, tree, radius)
+            pairs = {(int(a), int(b)) for x, y in bktree.search(values, tree, child, np.arange(len(values)), radius) for a, b in zip(x, y, strict=True)}
+            assert pairs == {(int(a), int(b)) for a, b in np.argwhere((apart <= radius) & (tree[:, None] == tree[None]))}
     signed = [f - (1 << 64) * (f >> 63) for f in fps]
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
-    want = {}
-    for f, r in components(fps, 2).items():
-        want.setdefault(r, set()).add(f)
-    for hot in (4096, 20):
-        roots = {r["fp"]: r["root"] for r in bktree.components(bktree.links(df, 2, hot_rows=hot, shard_rows=64)).collect()}
+    for radius, blocks, hot in ((2, None, 4096), (2, None, 20), (2, 4, 4096), (5, 7, 50)):
+        want = {}
+        for f, r in components(fps, radius).items():
+            want.setdefault(r, set()).add(f)
+        roots = {r["fp"]: r["root"] for r in bktree.components(bktree.links(df, radius, blocks, hot_rows=hot, shard_rows=64)).collect()}
         have = {}
         for f, s in zip(fps, signed, strict=True):
             have.setdefault(roots.get(s, s), set()).add(f)
