@@ -38,8 +38,9 @@ def lower_ascii(text: Column) -> Column:
 def shingle_hashes(text: Column, size: int = WORDS) -> Column:
     """XXH64 (seed 42) of every run of ``size`` words joined by single spaces; fewer words: of them all; none: empty."""
     def hashes(w: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " ")))
-        return F.when(F.size(w) > 0, each).otherwise(F.expr("cast(array() as array<bigint>)"))
+        each = F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(F.concat_ws(" ", *[w[i + k] for k in range(size)])))
+        short = F.array(F.xxhash64(F.array_join(w, " ")))
+        return F.when(F.size(w) >= size, each).when(F.size(w) > 0, short).otherwise(F.expr("cast(array() as array<bigint>)"))
 
     return let(words(lower_ascii(text)), hashes)
 
@@ -47,7 +48,9 @@ def shingle_hashes(text: Column, size: int = WORDS) -> Column:
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS) -> DataFrame:
     """(key, doc_id, fp, copies) per distinct (doc_id, text), stored; ``copies`` counts its rows."""
     body = whole(text)
-    terms = docs.select(row_key(F.col(doc_id), body).alias("key"), F.col(doc_id).alias("doc_id"), F.posexplode_outer(shingle_hashes(body, size)).alias("pos", "h"))
+    # The key is worked out below the explosion, once per row.
+    keyed_rows = docs.select(row_key(F.col(doc_id), body).alias("key"), F.col(doc_id).alias("doc_id"), shingle_hashes(body, size).alias("hashes"))
+    terms = keyed_rows.select("key", "doc_id", F.posexplode_outer("hashes").alias("pos", "h"))
     weight = F.when(F.col("h").isNull(), 0).otherwise(1).cast("long")
     rows = F.sum(F.when(F.coalesce("pos", F.lit(0)) == 0, 1).otherwise(0)).alias("copies")
     return stored(terms.groupBy("key", "doc_id").agg(*votes(F.coalesce("h", F.lit(0).cast("long")), weight), rows).select("key", "doc_id", fingerprint().alias("fp"), "copies"))
