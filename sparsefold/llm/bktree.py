@@ -1,11 +1,11 @@
 """SimHash near-duplicates: BK-trees over shards of fingerprints, and connected components of the links.
 
-Two fingerprints within ``radius`` bits agree on one of ``radius + 1`` blocks. Every fingerprint goes, once per block, to
-the shard of that block's value; a shard's task builds a BK-tree of its fingerprints, searches each along the edges
-within the radius only and emits one edge to the least member of each group it finds, never a group's pairs. A block
-value that more than ``HOT_ROWS`` distinct fingerprints share is cut by the same rule into blocks of the remaining
-bits. A shard's tree stays in the task that holds the shard's rows: all trees together grow with the corpus, so none is
-sent to every executor.
+Two fingerprints within ``radius`` of their bits agree on ``blocks - radius`` of ``blocks`` blocks at least. Every
+fingerprint goes, once per choice of that many blocks, to the shard of those blocks' value; a shard's task builds a
+BK-tree for each value, searches every fingerprint in the tree of its own value along the edges within the radius only,
+and emits one edge to the least member of each group it finds, never a group's pairs. A value that more than
+``HOT_ROWS`` distinct fingerprints share is cut by the same rule into blocks of the remaining bits. Trees stay in the
+task that holds the shard's rows: all trees together grow with the corpus, so none is sent to every executor.
 
 A null text is empty and a text without words has fingerprint zero, linked like any other. Repeated rows share a
 component, null ids take no part in the choice of the smallest id, and an empty table gives an empty one. Further
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from sparsefold.llm.shared import broadcast_if_small, let, row_key, stored, whol
 from sparsefold.llm.simhash import fingerprint, votes, words
 
 WORDS, RADIUS = 3, 2
-SHARD_ROWS, HOT_ROWS, SEARCHED_AT_ONCE = 2048, 4096, 256
+SHARD_ROWS, HOT_ROWS, SEARCHED_AT_ONCE = 8192, 4096, 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DEEPEST = 4
 
@@ -56,11 +57,12 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     return stored(terms.groupBy("key", "doc_id").agg(*votes(F.coalesce("h", F.lit(0).cast("long")), weight), rows).select("key", "doc_id", fingerprint().alias("fp"), "copies"))
 
 
-def plant(values: np.ndarray, radius: int) -> np.ndarray:
-    """The BK-tree of distinct fingerprints, its root the first: ``child[node, radius + distance]`` or -1."""
+def plant(values: np.ndarray, roots: np.ndarray, radius: int) -> np.ndarray:
+    """BK-trees of fingerprints: ``child[node, radius + distance]`` or -1. ``roots`` has the root of each one's tree; within
+    a tree fingerprints are distinct."""
     child = np.full((len(values), 65 + 2 * radius), -1, dtype=np.int32)
-    items = np.arange(1, len(values))
-    at = np.zeros(len(items), dtype=np.int64)
+    items = np.flatnonzero(roots != np.arange(len(values)))
+    at = roots[items]
     while items.size:
         slot = at * child.shape[1] + radius + np.bitwise_count(values[items] ^ values[at])
         _, first, which = np.unique(slot, return_index=True, return_inverse=True)
@@ -71,9 +73,9 @@ def plant(values: np.ndarray, radius: int) -> np.ndarray:
     return child
 
 
-def search(values: np.ndarray, child: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (query, node) within the radius, level by level."""
-    q, node = queries, np.zeros(len(queries), dtype=np.int64)
+def search(values: np.ndarray, roots: np.ndarray, child: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (query, node) of one tree within the radius, level by level."""
+    q, node = queries, roots[queries]
     reach = np.arange(2 * radius + 1)
     while q.size:
         d = np.bitwise_count(values[q] ^ values[node]).astype(np.int64)
@@ -91,12 +93,12 @@ def roots_of(label: np.ndarray, x: np.ndarray) -> np.ndarray:
         x = up
 
 
-def groups(values: np.ndarray, radius: int) -> np.ndarray:
-    """For each of the sorted distinct fingerprints the place of the least one it is linked with."""
-    child = plant(values, radius)
+def groups(values: np.ndarray, roots: np.ndarray, radius: int) -> np.ndarray:
+    """For each fingerprint the first of its tree that it is linked with."""
+    child = plant(values, roots, radius)
     label = np.arange(len(values))
     for start in range(0, len(values), SEARCHED_AT_ONCE):
-        for a, b in search(values, child, np.arange(start, min(start + SEARCHED_AT_ONCE, len(values))), radius):
+        for a, b in search(values, roots, child, np.arange(start, min(start + SEARCHED_AT_ONCE, len(values))), radius):
             while a.size:
                 a, b = roots_of(label, a), roots_of(label, b)
                 a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
@@ -106,21 +108,25 @@ def groups(values: np.ndarray, radius: int) -> np.ndarray:
 
 def shard_edges(radius: int):
     def edges(rows: pd.DataFrame) -> pd.DataFrame:
-        signed = np.unique(rows["fp"].to_numpy(dtype=np.int64))
-        root = groups(signed.view(np.uint64), radius)
-        moved = root != np.arange(len(signed))
-        return pd.DataFrame({"a": signed[moved], "b": signed[root[moved]]})
+        rows = rows.drop_duplicates().sort_values(["path", "key", "fp"])
+        signed, path, key = (rows[c].to_numpy(dtype=np.int64) for c in ("fp", "path", "key"))
+        new = np.concatenate([[True], (path[1:] != path[:-1]) | (key[1:] != key[:-1])])
+        roots = np.flatnonzero(new)[np.cumsum(new) - 1]
+        first = groups(signed.view(np.uint64), roots, radius)
+        moved = first != np.arange(len(signed))
+        return pd.DataFrame({"a": signed[moved], "b": signed[first[moved]]}).drop_duplicates()
 
     return edges
 
 
-def refined(masks: list[int], parts: int) -> list[int]:
-    """The masks of the next cut: each mask's free bits in ``parts`` blocks, one of them added to it."""
+def refined(masks: list[int], blocks: int, agree: int) -> list[int]:
+    """The masks of the next cut: each mask's free bits in ``blocks`` blocks, every choice of ``agree`` of them added to it."""
     out = []
     for m in masks:
         free = [b for b in range(64) if not m >> b & 1]
-        edges = [round(i * len(free) / parts) for i in range(parts + 1)]
-        out += [m | sum(1 << b for b in free[edges[i]:edges[i + 1]]) for i in range(parts)]
+        edges = [round(i * len(free) / blocks) for i in range(blocks + 1)]
+        part = [sum(1 << b for b in free[edges[i]:edges[i + 1]]) for i in range(blocks)]
+        out += [m | sum(part[i] for i in own) for own in combinations(range(blocks), agree)]
     return out
 
 
@@ -128,24 +134,27 @@ def signed64(m: int) -> int:
     return m - (1 << 64) * (m >> 63)
 
 
-def links(fps: DataFrame, radius: int = RADIUS, hot_rows: int = HOT_ROWS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, hot_rows: int = HOT_ROWS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(a, b), stored: edges that connect exactly the fingerprints connected by steps of ``radius`` bits or fewer.
-    ``fps``: stored, distinct ``fp``."""
-    parts = radius + 1
-    masks = refined([0], parts)
+    ``fps``: stored, distinct ``fp``. More ``blocks`` than the least, ``radius + 1``, make more but smaller trees."""
+    blocks = blocks or radius + 1
+    if blocks <= radius:
+        raise ValueError("more blocks than bits that may differ are needed")
+    agree, masks = blocks - radius, refined([0], blocks, blocks - radius)
+    parts = len(masks)
     rows = fps.select("fp", F.explode(keyed(masks, range(parts))).alias("k")).select("fp", "k.path", "k.key")
-    found = []
-    for depth in range(DEEPEST):
+    found, deepest = [], DEEPEST if parts <= 3 else 2
+    for depth in range(deepest):
         counts = stored(rows.groupBy("path", "key").count().where("count > 1"))
-        last = depth == DEEPEST - 1
+        last = depth == deepest - 1
         usual = counts if last else counts.where(F.col("count") <= hot_rows)
         total, hot = usual.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0], None if last else counts.where(F.col("count") > hot_rows)
         n_shards = 1 + total // shard_rows
-        dealt = rows.join(usual.select("path", "key"), ["path", "key"]).select("fp", F.pmod(F.xxhash64("path", "key"), F.lit(n_shards)).alias("shard"))
+        dealt = rows.join(usual.select("path", "key"), ["path", "key"]).select("fp", "path", "key", F.pmod(F.xxhash64("path", "key"), F.lit(n_shards)).alias("shard"))
         found.append(dealt.groupBy("shard").applyInPandas(shard_edges(radius), "a long, b long"))
         if last or hot.isEmpty():
             break
-        finer = refined(masks, parts)
+        finer = refined(masks, blocks, agree)
         again = stored(rows.join(broadcast_if_small(hot.select("path", "key"), 16), ["path", "key"]))
         cut = reduce(lambda other, p: F.when(F.col("path") == p, keyed(finer, range(p * parts, (p + 1) * parts))).otherwise(other), range(1, len(masks)), keyed(finer, range(parts)))
         rows, masks = again.select("fp", F.explode(cut).alias("k")).select("fp", "k.path", "k.key"), finer
@@ -177,26 +186,28 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def component_ids(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+def component_ids(rows: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """(fp, root, component_id), stored, of every distinct fingerprint in ``rows`` (doc_id, fp)."""
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(fps, radius))
+    roots = components(links(fps, radius, blocks))
     tied = fps.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     own = tied.groupBy("root").agg(F.min("least").alias("component_id"))
     return stored(tied.join(own, "root").select("fp", "root", "component_id"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, radius: int = RADIUS,
+                    blocks: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row."""
     rows = fingerprints(docs, doc_id, text, size)
-    met = rows.join(component_ids(rows, radius), "fp")
+    met = rows.join(component_ids(rows, radius, blocks), "fp")
     return met.select("doc_id", "fp", "component_id", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("n")).drop("n")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, radius: int = RADIUS,
+             blocks: int | None = None) -> DataFrame:
     """``docs`` with one row of each component: its smallest id, of several rows with that id one."""
     rows = fingerprints(docs, doc_id, text, size)
-    ids = component_ids(rows, radius)
+    ids = component_ids(rows, radius, blocks)
     of = rows.join(ids, "fp")
     chosen = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("k")).select("k.key", F.lit(1).alias("c"))
     gone = stored(rows.join(chosen, "key", "left").where(F.col("c").isNull() | (F.col("copies") > 1)).select("key", F.col("c").isNotNull().alias("repeated")))

@@ -84,6 +84,15 @@ def test_features():
     assert np.array_equal(again[0], f[1])
 
 
+def test_usual_tokens_take_the_short_way_to_the_same_row():
+    rng = random.Random(9)
+    lexicon = toxicity.Lexicon({"zorg": 2.5, "ab": 1.0}, {"zorgf": 3.0})
+    words = ["zorg", "Zorg", "zorgfleck", "you", "You.", "idiot,", "IDIOT", "Idiot", "É", "éa", "a", "A", "I", "i", "zorg..", "zorg!", "loooser", "ab;", "İx", "ßa", "x1", ".", "日本", "ǅa"]
+    words += ["".join(rng.choices("abzorgfleckABÉé.,:;!13@", k=rng.randint(1, 9))) for _ in range(5000)]
+    for w in words:
+        assert toxicity.token_row(w, lexicon) == toxicity.odd_token_row(w, lexicon), w
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 0), (2, 0), (4, 0)]])
 def test_without_both_classes_scores_are_constant(spark, labels):
     docs = spark.createDataFrame([(i, "you idiot", 1) for i in range(30)], "doc_id long, text string, score int")
@@ -103,7 +112,7 @@ def test_toxic_rows_go(stages):
 def test_one_of_each_group_stays(stages):
     before, after = rows(stages[1]), rows(stages[2])
     fps = [shingle_fp(r["text"] or "") for r in before]
-    root = components(set(fps), 2)
+    root = components(set(fps), corpus_pipeline.RADIUS)
     best = {}
     for r, f in zip(before, fps, strict=True):
         key = (r["doc_id"] is None, r["doc_id"] or 0)
