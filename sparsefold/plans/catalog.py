@@ -573,10 +573,9 @@ def smote_rows(spark, base):
     return both.groupBy("y").agg(F.count("*").alias("n"), F.sum("far").alias("n_outside_box"))
 
 
-# Selection, search and models. Search effort is reduced here; the functions' defaults are the full search.
+# Selection, search and models, with the full search and five seeds.
 
-EFFORT = flows.Effort(broad=[1e-5, 0.25001, 0.50001, 0.75001], refine=[(0.05, 0.05), (0.01, 0.01)], logistic_c=[1.0, 10.0],
-                      repeats=2, seeds=[1, 2])
+EFFORT = flows.Effort()
 
 
 def scored(preds: DataFrame) -> DataFrame:
@@ -587,7 +586,7 @@ def scored(preds: DataFrame) -> DataFrame:
 @query
 def lasso_select(spark, base):
     rows = described_vectors(spark, base).select("doc_id", "y", "x")
-    return select.lasso_select(rows, "doc_id", DESC, EFFORT.broad, EFFORT.refine, EFFORT.repeats)
+    return select.lasso_select(rows, "doc_id", DESC)
 
 
 @query
@@ -600,7 +599,7 @@ def forward_select(spark, base):
 def grid_search_scores(spark, base):
     rows = described_vectors(spark, base).select("doc_id", "y", "x")
     grid = [{"c": c, "balanced": b} for c in EFFORT.logistic_c for b in (False, True)]
-    return select.grid_scores(rows, "doc_id", grid, select.logistic_scorer, repeats=EFFORT.repeats)
+    return select.logistic_scores(rows, "doc_id", grid)
 
 
 @query
@@ -629,7 +628,7 @@ def train_stacked(spark, base):
     reduced = flows.with_lasso(flows.with_kernel_pca(p), EFFORT)
     preds = (flows.mlp_predictions(p, EFFORT, reduced).unionByName(flows.forest_predictions(p, EFFORT))
              .unionByName(flows.svm_predictions(p, EFFORT, reduced)))
-    return scored(preds.unionByName(flows.stacked_predictions(preds, EFFORT.seeds, EFFORT.repeats)))
+    return scored(preds.unionByName(flows.stacked_predictions(preds, EFFORT.seeds)))
 
 
 @query
