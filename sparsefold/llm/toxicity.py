@@ -60,6 +60,17 @@ class Lexicon:
 
 
 def token_row(token: str, lexicon: Lexicon) -> tuple:
+    word = token.rstrip(".,;:")
+    low = word.lower()
+    if word.isalpha() and (word == low or word[1:] == low[1:]) and not RUN.search(low):
+        # Most tokens: letters, lower case or capitalised, with a mark behind them at most.
+        caps, size = sum(c.isupper() for c in word[:1]), len(word)
+        odds, stem = lexicon.words.get(low, 0.0), lexicon.stems.get(low[:STEM], 0.0) if size > STEM else 0.0
+        return (low in INSULTS, odds > 0, odds, stem > 0, stem, low in SECOND_PERSON, False, False, caps, size, 0, len(token) - size, False, 0)
+    return odd_token_row(token, lexicon)
+
+
+def odd_token_row(token: str, lexicon: Lexicon) -> tuple:
     low = token.lower()
     core = EDGE.sub("", low)
     plain = EDGE.sub("", RUN.sub(r"\1", low.translate(LEET)))
