@@ -20,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparsefold.llm.shared import broadcast_if_small, let, row_key, stored, whole
 from sparsefold.llm.simhash import fingerprint, votes, words
@@ -211,7 +211,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     of = rows.join(ids, "fp")
     chosen = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("k")).select("k.key", F.lit(1).alias("c"))
     gone = stored(rows.join(chosen, "key", "left").where(F.col("c").isNull() | (F.col("copies") > 1)).select("key", F.col("c").isNotNull().alias("repeated")))
-    met = docs.select(F.struct("*").alias("row"), row_key(F.col(doc_id), whole(text)).alias("key")).join(gone, "key", "left")
-    single = met.where("repeated is null").select("row.*")
-    repeated = met.where("repeated").dropDuplicates(["key"]).select("row.*")
-    return single.unionByName(repeated)
+    # Texts are shuffled once, by key, at every size; repeated rows are told apart in that order.
+    met = docs.select(F.struct("*").alias("row"), row_key(F.col(doc_id), whole(text)).alias("key")).join(gone.hint("merge"), "key", "left")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    return met.where("repeated is null or repeated").withColumn("nth", nth).where("repeated is null or nth = 1").select("row.*")
