@@ -207,10 +207,13 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
              blocks: int | None = None) -> DataFrame:
     """``docs`` with one row of each component: its smallest id, of several rows with that id one."""
     rows = fingerprints(docs, doc_id, text, size)
-    ids = component_ids(rows, radius, blocks)
-    of = rows.join(ids, "fp")
+    return first_of_each(docs, rows.join(component_ids(rows, radius, blocks), "fp"), doc_id, text)
+
+
+def first_of_each(docs: DataFrame, of: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``docs`` with one row of each ``root`` of ``of``, which has (key, doc_id, copies, root) per distinct (doc_id, text)."""
     chosen = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("k")).select("k.key", F.lit(1).alias("c"))
-    gone = stored(rows.join(chosen, "key", "left").where(F.col("c").isNull() | (F.col("copies") > 1)).select("key", F.col("c").isNotNull().alias("repeated")))
+    gone = stored(of.join(chosen, "key", "left").where(F.col("c").isNull() | (F.col("copies") > 1)).select("key", F.col("c").isNotNull().alias("repeated")))
     # Texts are shuffled once, by key, at every size; repeated rows are told apart in that order.
     met = docs.select(F.struct("*").alias("row"), row_key(F.col(doc_id), whole(text)).alias("key")).join(gone.hint("merge"), "key", "left")
     nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))
