@@ -523,6 +523,19 @@ def kpca_landmarks(spark, base):
     return (mapped.select("doc_id", own.alias("own")).join(chosen, "doc_id").select("doc_id", *r6("own")))
 
 
+@query
+def kpca_landmark_scores(spark, base):
+    """Kernel PCA by landmark rows of every record, of which ``kpca_landmarks`` shows the landmarks alone: the squared length in the mapped
+    space (``own``) and of the scores, fitted over all records (``score_sq``)."""
+    rows = settle(fingerprint.with_ngram_bits(documents(spark, base).select("doc_id", "text"), "text", FOLD_BITS, 1).select("doc_id", "bits"))
+    first = kernel.landmark_order(rows, "doc_id", LANDMARKS)
+    marks = kernel.choose_landmarks(first.select("doc_id", kernel.dense_bits("bits", FOLD_BITS).alias("x")), "doc_id", "x", LANDMARKS)
+    mapped = kernel.landmark_bit_features(rows, marks)
+    scores = kernel.fit_landmark_pca(mapped, kernel.whitener(marks).shape[1]).transform(mapped)
+    length = lambda v: F.aggregate(vector_to_array(v), F.lit(0.0), lambda a, x: a + x * x)
+    return scores.select("doc_id", length("_map").alias("own"), length("kpca").alias("score_sq")).select("doc_id", *r6("own", "score_sq"))
+
+
 # Resampling
 
 
