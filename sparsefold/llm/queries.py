@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sparsefold.llm import bktree, chat, mixing, pieces, pii, secrets, simhash, toxicity, urls, vptree
+from sparsefold.llm import bktree, chat, mixing, packing, pieces, pii, secrets, simhash, toxicity, urls, vptree
 from sparsefold.llm.oracles import ORACLES as ORACLES
-from sparsefold.llm.shared import table
+from sparsefold.llm.shared import stored, table
 
 
 def joined_spans(spans: Column) -> Column:
@@ -92,6 +92,12 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(turns.unionByName(own)))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = packing.pack(stored(packing.cut(docs, keep_ids=False)))
+    return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES = {"op1_pii": op1_pii, "op2_mixing": op2_mixing, "op3_secrets": op3_secrets, "op4_toxicity": op4_toxicity, "op5_urls": op5_urls,
            "op6_nearest": op6_nearest, "op7_pieces": op7_pieces, "op8_chat": op8_chat, "op9_fingerprints": op9_fingerprints,
-           "op10_near_duplicates": op10_near_duplicates}
+           "op10_near_duplicates": op10_near_duplicates, "op11_packing": op11_packing}
