@@ -22,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -58,7 +59,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str =
         memo = Memo(lambda new: [e.ids for e in coder.encode_batch(new, add_special_tokens=False)])
         seen = np.zeros(capacity + 1, dtype=np.int64)
         part = TaskContext.get().partitionId()
-        for batch in slices(batches, 1):
+        for batch in slices(batches, lambda b: pc.utf8_length(b.column(1))):
             yield pieces_of(batch, memo, seen, part)
 
     def pieces_of(batch: pa.RecordBatch, memo: Memo, seen: np.ndarray, part: int) -> pa.RecordBatch:

@@ -18,11 +18,11 @@ CHARS_AT_ONCE = 8_000_000
 KNOWN_UNITS = 400_000
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, chars: int = CHARS_AT_ONCE) -> Iterator[pa.RecordBatch]:
-    """Batches of texts of about ``chars`` characters, one text at least."""
+def slices(batches: Iterator[pa.RecordBatch], size: Callable[[pa.RecordBatch], pa.Array], limit: int = CHARS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the rows' sizes add up to about ``limit``, one row at least; rows without a size count as 0."""
     for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
-        cuts = [0, *(np.flatnonzero(np.diff(ends // chars)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+        ends = np.cumsum(pc.fill_null(size(batch), 0).to_numpy(zero_copy_only=False))
+        cuts = [0, *(np.flatnonzero(np.diff(ends // limit)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
         for a, b in pairwise(cuts):
             yield batch.slice(a, b - a)
 
@@ -34,11 +34,11 @@ def at_spaces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return np.diff(lists.offsets.to_numpy()), found.indices.to_numpy(zero_copy_only=False), found.dictionary.to_pylist()
 
 
-def gathered(flat: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The stretches ``which`` of ``flat`` one after the other, and where each ends."""
-    each = starts[which + 1] - starts[which]
+def gathered(flat: np.ndarray, starts: np.ndarray, which: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ``which`` of ``flat`` one after the other, each without its first ``skip`` numbers, and where each ends."""
+    each = starts[which + 1] - starts[which] - skip
     ends = np.cumsum(each)
-    places = np.repeat(starts[which] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)
+    places = np.repeat(starts[which] + skip - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)
     return flat[places], ends
 
 
