@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sparsefold.llm import alignment, bktree, chat, mixing, packing, pieces, pii, secrets, simhash, toxicity, urls, vptree
+from sparsefold.llm import alignment, bktree, chat, mixing, packing, pieces, pii, repair, secrets, simhash, toxicity, urls, vptree
 from sparsefold.llm.oracles import ORACLES as ORACLES
 from sparsefold.llm.shared import stored, table
 
@@ -98,6 +98,10 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(repair.repair(repair.damage(table(spark, sf_dir, "conversations"))))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     aligned = stored(alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text")))
     counts = stored(alignment.pair_counts(aligned))
@@ -108,4 +112,4 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_pii": op1_pii, "op2_mixing": op2_mixing, "op3_secrets": op3_secrets, "op4_toxicity": op4_toxicity, "op5_urls": op5_urls,
            "op6_nearest": op6_nearest, "op7_pieces": op7_pieces, "op8_chat": op8_chat, "op9_fingerprints": op9_fingerprints,
            "op10_near_duplicates": op10_near_duplicates, "op11_packing": op11_packing,
-           "op13_alignment": op13_alignment}
+           "op12_repair": op12_repair, "op13_alignment": op13_alignment}
