@@ -1,16 +1,14 @@
-"""The corpus pipeline: documents without toxic ones, one of each near-duplicate group, live secrets masked, sources mixed
+"""The corpus pipeline: documents without toxic ones, one of each group of near-duplicate fingerprints, live secrets masked, sources mixed
 to their weights, texts as token ids. Each stage takes what its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparsefold.llm import mixing, overlap, pieces, secrets, toxicity
+from sparsefold.llm import bktree, mixing, pieces, secrets, toxicity
 from sparsefold.llm.shared import stored, table
 
 SCORE = "toxicity score"
-#: Bits of op10's fingerprints. Only a test reads it, to group its copies and unrelated texts; the stage compares runs of words exactly.
-RADIUS = 6
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +17,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return overlap.keep_one(docs).select(*docs.columns)
+    return bktree.keep_one(docs).select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
