@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline
-from sparsefold.llm import mixing, pieces, secrets, toxicity
+from sparsefold.llm import bktree, mixing, pieces, secrets, toxicity
 from sparsefold.llm.queries import op4_toxicity
 from tests.llm.test_mixing import plain_count
 from tests.llm.test_simhash import components, shingle_fp
@@ -112,7 +112,7 @@ def test_toxic_rows_go(stages):
 def test_one_of_each_group_stays(stages):
     before, after = rows(stages[1]), rows(stages[2])
     fps = [shingle_fp(r["text"] or "") for r in before]
-    root = components(set(fps), corpus_pipeline.RADIUS)
+    root = components(set(fps), bktree.RADIUS)
     best = {}
     for r, f in zip(before, fps, strict=True):
         key = (r["doc_id"] is None, r["doc_id"] or 0)
