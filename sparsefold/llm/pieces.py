@@ -23,10 +23,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  pa.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from sparsefold.llm.shared import numbered
+from sparsefold.llm.units import at_spaces, gathered, slices, sums
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -34,6 +34,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 CHARS_AT_ONCE, WORDS_AT_ONCE = 4_000_000, 8192
 KNOWN_PAIRS, KNOWN_WORDS = 1_000_000, 400_000
 TOP_BITS = 18
+#: Words of so many characters are encoded one by one.
+LONG = 512
 FALLBACK = -2
 #: No id and no character: marks unused places.
 NONE = -(1 << 40)
@@ -57,6 +59,15 @@ def prefix_hashes(points: np.ndarray) -> np.ndarray:
     return out
 
 
+def long_prefix_hashes(points: np.ndarray) -> np.ndarray:
+    """``prefix_hashes`` of one row without a loop: the base is odd, so it has an inverse to scale each place by."""
+    n = len(points)
+    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+    down = np.multiply.accumulate(np.full(n, inverse, dtype=np.uint64))
+    up = np.multiply.accumulate(np.full(n, BASE, dtype=np.uint64))
+    return np.concatenate([[np.uint64(0)], np.add.accumulate(mixed(points) * down) * up])
+
+
 @dataclass
 class Vocabulary:
     names: list[str]
@@ -78,6 +89,9 @@ class Vocabulary:
     powers: np.ndarray | None = None
 
     def __post_init__(self):
+        spelt = [r.replace(MARK.encode(), b" ") for r in self.raw]
+        lengths = np.array([len(r) for r in spelt], dtype=np.int64)
+        self.raw_flat, self.raw_at = np.frombuffer(b"".join(spelt), dtype=np.uint8), (np.cumsum(lengths) - lengths, lengths)
         self.weights = np.array(self.scores, dtype=float)
         self.ids = {p: i for i, p in enumerate(self.names) if self.usual[i]}
         with np.errstate(over="ignore"):
@@ -232,6 +246,58 @@ class Vocabulary:
             rows, at = rows[at > 0], at[at > 0]
         return found
 
+    def walk(self, word: str) -> list[int]:
+        """``viterbi`` of one long word: pieces are probed at all places by one call per length; only the choice goes place by place."""
+        points = code_points([word])[0]
+        n = len(points)
+        with np.errstate(over="ignore"):
+            hashes = long_prefix_hashes(points)
+            ends, starts, found = [], [], []
+            for size, (keys, ids) in self.keys.items():
+                if size <= n:
+                    h = hashes[size:] - hashes[:n + 1 - size] * self.powers[size]
+                    rows = np.flatnonzero(self.seen[size][h >> np.uint64(64 - TOP_BITS)])
+                    at = np.minimum(np.searchsorted(keys, h[rows]), len(keys) - 1)
+                    hit = keys[at] == h[rows]
+                    starts.append(rows[hit])
+                    ends.append(rows[hit] + size)
+                    found.append(ids[at[hit]])
+        end = np.concatenate(ends)
+        order = np.argsort(end, kind="stable")
+        edges = np.searchsorted(end[order], np.arange(n + 2)).tolist()
+        start, piece = np.concatenate(starts)[order].tolist(), np.concatenate(found)[order].tolist()
+        single = set(piece[i] for i in np.flatnonzero(end[order] - np.concatenate(starts)[order] == 1).tolist())
+        known = np.zeros(n + 1, dtype=bool)
+        known[[e for e, s in zip(end[order].tolist(), start) if e - s == 1]] = bool(single)
+        known, codes = known.tolist(), points.tolist()
+        best, last, back = [0.0] + [-np.inf] * n, [FALLBACK] * (n + 1), [0] * (n + 1)
+        floor = 0.0 if self.merging else min(self.scores, default=0.0) - 10
+        for j in range(1, n + 1):
+            top = -np.inf
+            for c in range(edges[j], edges[j + 1]):
+                i, p = start[c], piece[c]
+                if best[i] == -np.inf or (self.merging and last[i] >= 0 and not self.stays(last[i], p)):
+                    continue
+                score = best[i] if self.merging else best[i] + self.scores[p]
+                if score > top:
+                    top, last[j], back[j] = score, p, i
+            if not known[j] and best[j - 1] + floor > top:
+                top, last[j], back[j] = best[j - 1] + floor, FALLBACK - codes[j - 1], j - 1
+            best[j] = top
+        out, at = [], n
+        while at:
+            out.append(last[at])
+            at = back[at]
+        return out[::-1]
+
+    def stays(self, left: int, right: int) -> bool:
+        key = left << 32 | right
+        if key not in self.pairs:
+            if len(self.pairs) > KNOWN_PAIRS:
+                self.pairs.clear()
+            self.pairs[key] = self.merged(self.names[left] + self.names[right]) == [left, right]
+        return self.pairs[key]
+
     def finished(self, found: list[int]) -> list[int]:
         """Unknown characters as the pieces of their bytes, or the unknown id where the model has none."""
         if not found or min(found) >= 0:
@@ -251,6 +317,9 @@ class Vocabulary:
         for w in dict.fromkeys(u.lstrip(" ") for u in units):
             if w not in self.units:
                 by_length.setdefault(len(w), []).append(w)
+        for length in [n for n in by_length if n >= LONG]:
+            for w in by_length.pop(length):
+                self.keep(w, self.finished(self.walk(MARK + w)))
         for length, own in by_length.items():
             step = max(1, min(WORDS_AT_ONCE, WORDS_AT_ONCE * 64 // (length + 1)))
             for at in range(0, len(own), step):
@@ -286,29 +355,62 @@ class Vocabulary:
         run = self.merged(MARK * spaces) if self.merging else [x for x in self.viterbi([MARK * spaces])[0].tolist() if x != NONE]
         return self.finished(run) + found
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(offsets, ids) of all texts."""
-        units, counts = [], []
-        for t in texts:
-            own = t.replace(MARK, " ").split(" ") if t else []
-            if "" in own:
-                own = spaced(own)
-            units += own
-            counts.append(len(own))
-        if not units:
-            return np.zeros(len(texts) + 1, dtype=np.int64), np.zeros(0, dtype=np.int32)
-        codes, distinct = numbered(units)
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of all texts. Words are cut and told apart by Arrow; only a batch's distinct ones are looked at here."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        texts = marks_to_spaces(texts)
         if len(self.units) > KNOWN_WORDS:
             self.units, self.flat, self.starts = {}, array("i"), array("q", [0])
-        with np.errstate(over="ignore"):
-            self.learn([u for u in distinct if u not in self.units])
-        number = np.array([self.units[u] for u in distinct], dtype=np.int64)[codes]
-        starts, flat = np.array(self.starts), np.array(self.flat)
-        each = starts[number + 1] - starts[number]
-        ends = np.cumsum(each)
-        ids = flat[np.repeat(starts[number] - (ends - each), each) + np.arange(ends[-1])]
-        offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return offsets, ids
+        kinds = np.zeros(len(texts), dtype=np.int8)
+        kinds[pc.match_substring_regex(texts, "  |^ | $").to_numpy(zero_copy_only=False)] = 1
+        kinds[pc.equal(texts, "").to_numpy(zero_copy_only=False)] = 2
+        sizes, parts = np.zeros(len(texts), dtype=np.int64), []
+        for kind, cut in ((0, at_spaces), (1, behind_spaces)):
+            own = np.flatnonzero(kinds == kind)
+            if not own.size:
+                continue
+            counts, codes, distinct = cut(texts.take(pa.array(own)) if own.size < len(texts) else texts)
+            with np.errstate(over="ignore"):
+                self.learn([u for u in distinct if u not in self.units])
+            number = np.array([self.units[u] for u in distinct], dtype=np.int64)[codes]
+            starts, flat = np.array(self.starts), np.array(self.flat)
+            ids, _ = gathered(flat, starts, number)
+            sizes[own] = sums(starts[number + 1] - starts[number], counts)
+            parts.append((own, ids))
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        if len(parts) == 1:
+            return offsets, parts[0][1]
+        out = np.zeros(offsets[-1], dtype=np.int32)
+        for own, ids in parts:
+            each = sizes[own]
+            ends = np.cumsum(each)
+            out[np.repeat(offsets[own] - (ends - each), each) + np.arange(len(ids))] = ids
+        return offsets, out
+
+    def spelt(self, offsets: np.ndarray, ids: np.ndarray, texts: pa.Array) -> np.ndarray:
+        """Whether decoding each text's ids gives the text back: all decoded bytes in one array, against the texts' own."""
+        starts, lengths = self.raw_at
+        each = lengths[ids]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        decoded = self.raw_flat[np.repeat(starts[ids] - ends[:-1], each) + np.arange(ends[-1])]
+        at, sizes = ends[offsets[:-1]], np.diff(ends[offsets])
+        texts = marks_to_spaces(texts)
+        own = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        full = sizes > 0
+        same = sizes == own + full
+        same[full] &= decoded[at[full]] == ord(" ")
+        if not same.all():
+            # Few texts at most: what differs in length needs no comparison.
+            decoded = np.concatenate([decoded[a:a + n] for a, n, ok in zip(at, sizes, same, strict=True) if ok and n] or [decoded[:0]])
+            texts = texts.filter(pa.array(same))
+            own = own[same]
+        first = np.cumsum(own + (own > 0)) - (own + (own > 0))
+        inner = np.ones(len(decoded), dtype=bool)
+        inner[first[own > 0]] = False
+        wrong = np.concatenate([[0], np.cumsum(decoded[inner] != flat_bytes(texts))])
+        ends = np.concatenate([[0], np.cumsum(own)])
+        same[same] = wrong[ends[1:]] == wrong[ends[:-1]]
+        return same
 
     def decode(self, ids: np.ndarray) -> str:
         raw = self.raw
@@ -316,6 +418,26 @@ class Vocabulary:
         return text[1:] if text[:1] == " " else text
 
 
+def marks_to_spaces(texts: pa.Array) -> pa.Array:
+    """The library reads the mark as a space."""
+    return pc.replace_substring(texts, MARK, " ") if pc.any(pc.match_substring(texts, MARK)).as_py() else texts
+
+
+def flat_bytes(texts: pa.Array) -> np.ndarray:
+    """All texts' bytes, one after the other."""
+    as_bytes = pa.concat_arrays([texts.cast(pa.binary())])
+    ends = np.frombuffer(as_bytes.buffers()[1], dtype=np.int32)[as_bytes.offset:as_bytes.offset + len(as_bytes) + 1]
+    data = as_bytes.buffers()[2]
+    return np.frombuffer(data, dtype=np.uint8)[ends[0]:ends[-1]] if data is not None and len(as_bytes) else np.zeros(0, dtype=np.uint8)
+
+
+def behind_spaces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """``at_spaces`` of texts where spaces follow each other or stand at an end."""
+    lists = [spaced(t.split(" ")) for t in texts.to_pylist()]
+    found = pa.array([u for own in lists for u in own], pa.string()).dictionary_encode()
+    return np.array([len(own) for own in lists]), found.indices.to_numpy(zero_copy_only=False), found.dictionary.to_pylist()
+
+
 def spaced(words: list[str]) -> list[str]:
     """Empty strings between split points become spaces in front of the next word; those at the end a unit of their own."""
     out, n = [], 0
@@ -360,21 +482,11 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str =
     at = kept.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            start, size = 0, 0
-            lengths = pa.compute.fill_null(pa.compute.utf8_length(batch.column(at)), 0).to_pylist()
-            for end, n in enumerate(lengths, 1):
-                size += n
-                if size >= CHARS_AT_ONCE or end == len(lengths):
-                    yield coded(batch.slice(start, end - start))
-                    start, size = end, 0
-
-    def coded(part: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t or "" for t in part.column(at).to_pylist()]
-        offsets, found = vocabulary.encode(texts)
-        same = [vocabulary.decode(found[a:b]) == t.replace(MARK, " ") for t, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True)]
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found, pa.int32()))
-        return pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(same, pa.bool_())], names=[*part.schema.names, ids, flag])
+        for part in slices(batches, lambda b: pc.utf8_length(b.column(at)), CHARS_AT_ONCE):
+            texts = part.column(at).fill_null("")
+            offsets, found = vocabulary.encode(texts)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(vocabulary.spelt(offsets, found, texts))], names=[*part.schema.names, ids, flag])
 
     return kept.mapInArrow(run, schema)
 

@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -34,6 +36,33 @@ def test_ids_equal_the_library_and_decode(vocabulary):
         assert vocabulary.decode(own) == t.replace("▁", " ")
 
 
+def test_long_words_equal_the_library(vocabulary):
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abcdeinorst", k=n)) for n in (510, 511, 512, 513, 3000)] + ["the" * 900, "é日😀x" * 400, "-" * 2000, "".join(rng.choices(ALPHABET.replace(" ", ""), k=5000))]
+    offsets, ids = vocabulary.encode(texts)
+    for i, t in enumerate(texts):
+        assert ids[offsets[i]:offsets[i + 1]].tolist() == lib.encode(t), t[:20]
+
+
+def test_a_million_letters_take_seconds(vocabulary):
+    word = "".join(random.Random(7).choices("etaoinshrdlu", k=1_000_000))
+    start = time.perf_counter()
+    _, ids = vocabulary.encode([word])
+    assert time.perf_counter() - start < 60
+    assert ids.tolist() == sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL).encode(word)
+
+
+def test_texts_are_compared_byte_by_byte(vocabulary):
+    texts = ["a b", "", "x  y", "é日", "", "end"]
+    offsets, ids = vocabulary.encode(texts)
+    assert vocabulary.spelt(offsets, ids, pa.array(texts)).all()
+    assert vocabulary.spelt(offsets, ids, pa.array(["a c", "", "x  y", "e日", "z", "end"])).tolist() == [False, True, True, False, False, True]
+    assert vocabulary.spelt(offsets, ids, pa.array(["", *texts[1:]]).slice(0)).tolist() == [False] + [True] * 5
+    padded = pa.array(["zz", *texts]).slice(1)
+    assert vocabulary.spelt(offsets, ids, padded).all()
+
+
 def test_long_merging_agrees_with_short(vocabulary):
     for t in ("a" * 60, "▁" * 63, "theinre" * 8):
         assert vocabulary.merged(t) == vocabulary.merged_long(t)
