@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sparsefold.llm.shared import stored
-from sparsefold.llm.units import Memo, at_spaces, gathered, slices, sums
+from sparsefold.llm.units import Memo, at_spaces, byte_chars, gathered, slices, sums
 
 BYTE_LEVEL, SENTENCE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "\u2581"
@@ -42,13 +42,6 @@ ALIGNED = "row long, id long, n_a long, n_b long, n_groups long, n_links long, g
 GROUPS = ", a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
 
 
-def byte_of_char() -> dict[str, int]:
-    """Byte-level vocabularies write visible Latin-1 bytes as themselves and the others, in order, from U+0100 on."""
-    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    hidden = [b for b in range(256) if b not in visible]
-    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 def words_of(text: str) -> list[str]:
     """The text, behind one more space, cut at spaces over which neither tokenizer joins; a word's own space is left out."""
     parts = text.split(" ")
@@ -90,7 +83,7 @@ class Aligner(Memo):
 
         self.a, self.b = Tokenizer.from_str(json_text), sentencepiece.SentencePieceProcessor(model_proto=model)
         self.a.encode_special_tokens = True
-        chars = byte_of_char()
+        chars = {c: b for b, c in enumerate(byte_chars())}
         written = {i: t for t, i in self.a.get_vocab().items()}
         special = {i for i, t in self.a.get_added_tokens_decoder().items() if t.special}
         self.a_bytes = [b"" if i in special or i not in written else bytes(chars[c] for c in written[i]) for i in range(max(written) + 1)]

@@ -14,6 +14,8 @@ gives an empty one, and further columns are not read. The tokenizer must drop wh
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sparsefold.llm.shared import broadcast_if_small, stored
-from sparsefold.llm.units import Memo, at_spaces, gathered, slices, sums
+from sparsefold.llm.units import KNOWN_UNITS, Memo, at_spaces, byte_chars, gathered, slices, sums
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 CAPACITY, END_ID = 2048, 0
@@ -37,6 +39,83 @@ CLASSES, DEPTH = 512, 3
 WEIGHT_POWER = 8
 PIECES = "id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 RANK_BITS = 48
+#: Words that lower-casing and composing leave letter by letter: ASCII and Latin-1; the marks are one token's or more, never joined with a letter.
+PLAIN = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([.,;:!?|\"()#$%&*+/=@-]*)")
+LONGEST = 64
+NO_RANK = 1 << 40
+
+
+class WordCoder:
+    """A word tokenizer's ids of text units. Words of plain letters, with marks behind them at most, are merged many at a time:
+    all words of one length take their best pair, the leftmost of equals, in the same step. The library does the others."""
+
+    def __init__(self, json_text: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_str(json_text)
+        model = json.loads(json_text)["model"]
+        ids, suffix = model["vocab"], model["end_of_word_suffix"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        left, right, both = np.array([[ids[a], ids[b], ids[a + b]] for a, b in pairs], dtype=np.int64).T
+        order = np.argsort(left << 32 | right, kind="stable")
+        # One more pair that no word holds keeps every search inside.
+        self.pairs = np.append((left << 32 | right)[order], np.iinfo(np.int64).max)
+        self.ranks, self.both = np.append(order, NO_RANK), np.append(both[order], -1)
+        self.inner, self.last = (np.array([ids.get(c + end, -1) for c in byte_chars()]) for end in ("", suffix))
+        self.marks: dict[str, list[int]] = {}
+        self.words = Memo(self.merged, known=KNOWN_UNITS)
+
+    def __call__(self, units: list[str]) -> list[list[int]]:
+        """Ids of each unit, which holds no white space but what is dropped."""
+        out: list[list[int] | None] = [None] * len(units)
+        plain, other = [], []
+        for at, unit in enumerate(units):
+            found = PLAIN.fullmatch(unit)
+            if found is None or len(unit) > LONGEST:
+                other.append(at)
+            else:
+                plain.append((at, found[1].lower(), found[2]))
+        self.marks.update(zip(new := [m for m in {m for _, _, m in plain} if m not in self.marks], self.by_library(new), strict=True))
+        words = list({w for _, w, _ in plain})
+        number = dict(zip(words, self.words.numbered(words).tolist(), strict=True))
+        flat, starts = self.words.flat, self.words.starts
+        for at, word, marks in plain:
+            n = number[word]
+            out[at] = flat[starts[n]:starts[n + 1]].tolist() + self.marks[marks]
+        for at, ids in zip(other, self.by_library([units[at] for at in other]), strict=True):
+            out[at] = ids
+        return out
+
+    def by_library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def merged(self, words: list[str]) -> list[list[int]]:
+        out: list[list[int]] = [[]] * len(words)
+        raw = [w.encode() for w in words]
+        lengths = np.array([len(r) for r in raw])
+        for length in np.unique(lengths).tolist():
+            which = np.flatnonzero(lengths == length)
+            chars = np.frombuffer(b"".join([raw[i] for i in which.tolist()]), dtype=np.uint8).reshape(len(which), length)
+            now = self.inner[chars]
+            now[:, -1] = self.last[chars[:, -1]]
+            while which.size:
+                key = now[:, :-1] << 32 | now[:, 1:]
+                at = np.searchsorted(self.pairs, key)
+                rank = np.where(self.pairs[at] == key, self.ranks[at], NO_RANK)
+                best = rank.argmin(axis=1) if now.shape[1] > 1 else np.zeros(len(now), dtype=np.int64)
+                line = np.arange(len(now))
+                going = rank[line, best] < NO_RANK if now.shape[1] > 1 else np.zeros(len(now), dtype=bool)
+                for i, ids in zip(which[~going].tolist(), now[~going].tolist(), strict=True):
+                    out[i] = ids
+                which, now, best, at, line = which[going], now[going], best[going], at[going], np.arange(int(going.sum()))
+                place = np.arange(now.shape[1] - 1)[None]
+                joined = self.both[at[line, best]]
+                now = np.take_along_axis(now, place + (place > best[:, None]), 1)
+                now[line, best] = joined
+        return out
 
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID,
@@ -50,20 +129,14 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str =
     schema = PIECES + (", ids array<int>" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        coder = Tokenizer.from_str(json_text)
-        memo = Memo(lambda new: [e.ids for e in coder.encode_batch(new, add_special_tokens=False)])
+        memo = Memo(WordCoder(json_text))
         seen = np.zeros(capacity + 1, dtype=np.int64)
         part = TaskContext.get().partitionId()
         for batch in slices(batches, lambda b: pc.utf8_length(b.column(1))):
             yield pieces_of(batch, memo, seen, part)
 
     def pieces_of(batch: pa.RecordBatch, memo: Memo, seen: np.ndarray, part: int) -> pa.RecordBatch:
-        counts, codes, distinct = at_spaces(batch.column(1).fill_null(""))
+        counts, codes, distinct = at_spaces(pc.replace_substring(batch.column(1).fill_null(""), "\n", " "))
         numbers = memo.numbered(distinct)[codes]
         flat, starts = memo.tables()
         own, _ = gathered(flat, starts, numbers)

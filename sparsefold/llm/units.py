@@ -34,6 +34,13 @@ def at_spaces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return np.diff(lists.offsets.to_numpy()), found.indices.to_numpy(zero_copy_only=False), found.dictionary.to_pylist()
 
 
+def byte_chars() -> list[str]:
+    """The character of every byte in byte-level vocabularies: visible Latin-1 bytes are themselves, the others follow in order from U+0100."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in visible else chr(next(hidden)) for b in range(256)]
+
+
 def gathered(flat: np.ndarray, starts: np.ndarray, which: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The stretches ``which`` of ``flat`` one after the other, each without its first ``skip`` numbers, and where each ends."""
     each = starts[which + 1] - starts[which] - skip

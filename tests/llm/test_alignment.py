@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import sentencepiece
 from tokenizers import Tokenizer
 
-from sparsefold.llm import alignment
+from sparsefold.llm import alignment, units
 from sparsefold.llm.queries import op13_alignment
 
 ODD = ["a", "b", "é", "日本", "한", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", " ", "　", "'s", "'ve", "12", "3.", ",", "?!", "ß", "Å", "ﬁ", "😀", "👩‍👩‍👧",
@@ -24,7 +24,7 @@ def texts():
 def brute(rows):
     a_coder, b_coder = Tokenizer.from_file(alignment.BYTE_LEVEL), sentencepiece.SentencePieceProcessor(model_file=alignment.SENTENCE)
     a_coder.encode_special_tokens = True
-    chars = alignment.byte_of_char()
+    chars = {c: b for b, c in enumerate(units.byte_chars())}
     out, links = [], []
     for key, text in rows:
         a = a_coder.encode(" " + (text or ""), add_special_tokens=False).ids if text else []

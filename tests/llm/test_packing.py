@@ -120,6 +120,16 @@ def test_plan_finds_pairs_that_best_fit_misses():
     assert sum(f.count for f in packing.plan({7: 4, 3: 4, 5: 8}, 10)) == 8
 
 
+def test_words_are_merged_as_by_the_library():
+    with open(packing.TOKENIZER, encoding="utf-8") as f:
+        coder = packing.WordCoder(f.read())
+    rng = random.Random(2)
+    letters = "etaoinshrdluETAOIN" + "éßÅçÿÀñü"
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 70))) + "".join(rng.choices(".,;:!?|\"()-'_#$%&*+/=@<", k=rng.choice([0, 0, 1, 2]))) for _ in range(20_000)]
+    words += ["the", "The", "I've", "it's", "'s", "x's,", "a'", "", "-", "...", "ÿ", "×", "don't."]
+    assert coder(words) == coder.by_library(words)
+
+
 def test_memo_forgets_without_changing_results():
     memo = units.Memo(lambda new: [[len(u)] for u in new], known=2)
     for some in (["a", "bb"], ["ccc", "a"], ["dddd"], ["a"]):
