@@ -46,11 +46,12 @@ placed AS (
   SELECT doc_id, source, lang, rank, kind, vals[i] AS v,
     (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0))::BIGINT AS s, length(hits[i]) AS n
   FROM each WHERE length(vals[i]) >= least),
-owned AS (SELECT v, count(DISTINCT coalesce('+' || source, '-')) AS owners FROM placed GROUP BY v),
+owned AS (SELECT v, count(DISTINCT coalesce('+' || source, '-')) AS owners,
+  count(DISTINCT coalesce('+' || source, '-') || chr(31) || concat_ws('/', source, lang)) AS repos FROM placed GROUP BY v),
 judged AS (
   SELECT p.*, kind || ':' || s || ':' || (s + n) AS said, kind IN ({BASE_KINDS}) AS base,
-    CASE WHEN owners >= {secrets.MIN_OWNERS} THEN 'example'
-      WHEN (regexp_matches(p.v, '[0-9]') AND regexp_matches(p.v, '[A-Za-z]') AND len(list_distinct(string_split(substr(p.v, 1, 256), ''))) >= {secrets.MIN_SYMBOLS})
+    CASE WHEN owners >= {secrets.MIN_OWNERS} OR (owners > 1 AND repos >= {secrets.MIN_REPOS}) THEN 'example'
+      WHEN (regexp_matches(p.v, '[0-9]') AND regexp_matches(p.v, '[A-Za-z]') AND len(list_distinct(string_split(p.v, ''))) >= {secrets.MIN_SYMBOLS})
         OR starts_with(p.v, '-----BEGIN') THEN 'live' ELSE 'dull' END AS verdict
   FROM placed p JOIN owned o ON p.v = o.v),
 summed AS (

@@ -50,14 +50,16 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``n_within``: for every 50th id, the other documents whose fingerprints differ in 3 bits or fewer."""
+    """For every 50th id: ``n_within`` counts the other documents whose fingerprints differ in 3 bits or fewer, ``within`` lists those
+    fingerprints, its own included, each with its bits."""
     rows = simhash.fingerprint_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
     asked = F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))
-    near = simhash.counted_within(rows, asked)
+    near = simhash.found_within(rows, asked)
     return rows.join(near, "fp", "left").select(
         "doc_id", "n_chars", "edited_sha256", simhash.hex64(F.col("fp")).alias("fingerprint"), simhash.hex64(F.col("edited_fp")).alias("edited_fingerprint"),
         simhash.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), simhash.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
-        F.when(asked, F.col("n") - 1).alias("n_within"))
+        F.when(asked, F.col("n") - 1).alias("n_within"),
+        F.when(asked, F.array_join(F.transform("found", lambda x: F.concat(simhash.hex64(x["fp"]), F.lit(":"), x["bits"].cast("string"))), ",")).alias("within"))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
-"""Secrets by corpus-wide ownership: a value that many owners share is a copied example, one owner's value looks live.
+"""Secrets by corpus-wide ownership: a value that many owners, or many repositories of several owners, share is a copied example;
+one owner's value looks live.
 
 ``scan`` finds candidates in the row, ``ownership`` counts the distinct repositories and owners of each candidate hash
 over the whole corpus, ``judged`` puts each candidate's verdict beside it and ``redact`` replaces live ones. Only
@@ -26,6 +27,8 @@ MARKED = ("marked", r"gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk
 KINDS = (*BASE, MARKED)
 BLOCK = 256
 MIN_OWNERS = 3
+#: Two owners hold a copied example too, if it lies in so many of their repositories; one owner's own repositories prove nothing.
+MIN_REPOS = 8
 MIN_SYMBOLS = 6
 MASK = "<secret>"
 
@@ -65,8 +68,8 @@ def matches(text: Column, kind: str, pattern: str, group: int, least: int) -> Co
 
 
 def looks_alive(value: Column) -> Column:
-    """Generated values mix letters with digits and use many symbols; placeholders such as repeated letters don't."""
-    return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(F.substring(value, 1, 256), ""))) >= MIN_SYMBOLS) \
+    """Generated values mix letters with digits and use many symbols anywhere; placeholders such as repeated letters don't."""
+    return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= MIN_SYMBOLS) \
         | value.startswith("-----BEGIN")
 
 
@@ -96,10 +99,11 @@ def ownership(scanned: DataFrame) -> DataFrame:
 
 def judged(scanned: DataFrame, min_owners: int = MIN_OWNERS) -> DataFrame:
     """(key, spans): the candidates of each row that has any, by start, then kind as listed, each with its verdict:
-    ``example`` (at least ``min_owners`` distinct owners hold the value), ``live`` (fewer, and it looks generated) or ``dull``."""
+    ``example`` (``min_owners`` distinct owners hold the value, or several do in ``MIN_REPOS`` distinct repositories), ``live`` (fewer, and it looks
+    generated) or ``dull``."""
     each = scanned.where(F.size("found") > 0).select("key", F.explode("found").alias("c")) \
         .groupBy("key", "c").agg(F.lit(1).alias("one")).select("key", "c", F.col("c.hash").alias("hash"))
-    verdict = F.when(F.col("n_owners") >= min_owners, "example").when(F.col("c.alive"), "live").otherwise("dull")
+    verdict = F.when((F.col("n_owners") >= min_owners) | ((F.col("n_owners") > 1) & (F.col("n_repos") >= MIN_REPOS)), "example").when(F.col("c.alive"), "live").otherwise("dull")
     rank = F.array_position(F.array(*[F.lit(k[0]) for k in KINDS]), F.col("c.kind"))
     span = F.struct(F.col("c.start").alias("start"), rank.alias("rank"), F.col("c.kind").alias("kind"), F.col("c.end").alias("end"),
                     verdict.alias("verdict"), "n_owners", "n_repos")

@@ -87,19 +87,24 @@ def within(queries: DataFrame, fps: DataFrame, radius: int = RADIUS, blocks: int
     return pairs.select("query", F.col("other").alias("fp"), F.bit_count(apart).alias("bits"))
 
 
-def cells_of(ids: DataFrame) -> tuple[int, int]:
-    """(least id, ids per cell) such that cells of equal width hold some ``CELL_ROWS`` rows at most where ids differ."""
+def cells_of(ids: DataFrame) -> str:
+    """The cell of ``id`` in SQL, such that cells of equal width hold some ``CELL_ROWS`` rows at most where ids differ.
+
+    Ids that span most of a long are halved twice first, so that no difference leaves its range.
+    """
     low, high, n = ids.agg(F.min("id"), F.max("id"), F.count("*")).first()
     if low is None:
-        return 0, 1
-    want = max(CELL_ROWS, n // MAX_CELLS)
+        return "0L"
+    halvings = 0 if high - low < 1 << 62 else 2
+    low, high, want = low >> halvings, high >> halvings, max(CELL_ROWS, n // MAX_CELLS)
+    cell = lambda width: f"(shiftright(id, {halvings}) - ({low})) div {width}"
     width = max(1, (high - low + 1) * want // max(n, 1))
     while width > 1:
-        fullest = ids.groupBy(F.floor((F.col("id") - low) / width)).count().agg(F.max("count")).first()[0]
+        fullest = ids.groupBy(F.expr(cell(width))).count().agg(F.max("count")).first()[0]
         if fullest <= 4 * want:
             break
         width = max(1, width * want // fullest)
-    return low, width
+    return cell(width)
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -108,9 +113,8 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     unique. Ids are cut into cells of bounded size; the first row of each cell also ends the cell above it, there with
     ``ghost`` 1 and no next text, so no task needs more than one cell, and texts are shuffled once."""
     known = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text"))
-    low, width = cells_of(known.select(F.col("doc_id").alias("id")).where("id is not null"))
-    where = F.coalesce(F.expr(f"(doc_id - {low}L) div {width}L"), F.lit(-1)).cast("long")
-    placed = known.withColumn("cell", where)
+    cell = cells_of(known.select(F.col("doc_id").cast("long").alias("id")).where("id is not null"))
+    placed = known.withColumn("id", F.col("doc_id").cast("long")).withColumn("cell", F.coalesce(F.expr(cell), F.lit(-1)).cast("long")).drop("id")
 
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc()]
     # Compact: the first row of each cell in the order is the one of its greatest id, least text.
@@ -152,8 +156,10 @@ def likeness(a: Column, b: Column) -> Column:
     return 1 - distance(a, b) / F.lit(float(BITS))
 
 
-def counted_within(rows: DataFrame, asked: Column, radius: int = RADIUS) -> DataFrame:
-    """(fp, n): for each distinct fingerprint of the rows that ``asked`` selects, the rows within the radius, its own included."""
+def found_within(rows: DataFrame, asked: Column, radius: int = RADIUS) -> DataFrame:
+    """(fp, n, found): for each distinct fingerprint of the rows that ``asked`` selects, the rows within the radius, its own included, and
+    the distinct fingerprints (fp, bits) that they have, of which a radius of 3 bits allows 43,745 at most."""
     sizes = stored(rows.groupBy("fp").agg(F.count("*").alias("rows"), F.max(asked).alias("asked")))
     pairs = within(sizes.where("asked").select("fp"), sizes.select("fp"), radius)
-    return pairs.join(sizes.select("fp", "rows"), "fp").groupBy(F.col("query").alias("fp")).agg(F.sum("rows").alias("n"))
+    return pairs.join(sizes.select("fp", "rows"), "fp").groupBy(F.col("query").alias("fp")).agg(
+        F.sum("rows").alias("n"), F.array_sort(F.collect_list(F.struct("bits", "fp"))).alias("found"))

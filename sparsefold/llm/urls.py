@@ -3,7 +3,7 @@
 Level 1 encodes the listed keys. The unlisted keys of the corpus that it wrongly admits are its false positives; level 2
 encodes those, level 3 the listed keys that level 2 wrongly admits, and so on until a level admits none. A key of the
 corpus is listed if the first level that doesn't admit it is even (or, past the last, by the count of levels). The
-filters are literals of bounded size; where all levels would exceed ``MAX_BITS``, keys are dealt by hash into slices
+filters are literals of bounded size; where any level would exceed ``MAX_BITS``, be it of listed keys or of false positives, keys are dealt by hash into slices
 with a cascade of their own, each applied to its slice alone. Only DataFrame functions are used.
 
 A null url, or one without ``://``, has empty host and path and fits no rule. Repeated rows get the same verdict, an
@@ -25,6 +25,8 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 BAD_LABELS = r"(^|[.-])(spam|casino|pills|xxx|warez|malware|phish)"
 BITS_PER_KEY = 12
 PROBES = 6
+#: Share of other keys that a level of that many bits and probes admits, with room.
+WRONGLY_ADMITTED = 0.005
 MAX_BITS = 1 << 24
 MAX_LEVELS = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -98,10 +100,20 @@ def encode(keys: DataFrame, n: int, number: int) -> Level:
 
 def build(universe: DataFrame, max_bits: int = MAX_BITS) -> Cascade:
     """``universe``: (key, listed), every key of the corpus and the list once."""
-    n_listed = universe.where("listed").count()
-    n_slices = max(1, -(-2 * n_listed * BITS_PER_KEY // max_bits))
-    dealt = F.pmod(F.xxhash64(F.lit("slice"), "key"), F.lit(n_slices))
-    return Cascade(tuple(levels_of(universe.where(dealt == i) if n_slices > 1 else universe) for i in range(n_slices)))
+    n, n_listed = universe.agg(F.count("*"), F.count_if("listed")).first()
+    keys = max(n_listed, (n - n_listed) * WRONGLY_ADMITTED)
+    n_slices = max(1, -(-int(2 * keys * BITS_PER_KEY) // max_bits))
+    while True:
+        dealt = F.pmod(F.xxhash64(F.lit("slice"), "key"), F.lit(n_slices))
+        slices: list[tuple[Level, ...]] = []
+        for i in range(n_slices):
+            slices.append(levels_of(universe.where(dealt == i) if n_slices > 1 else universe))
+            if max((x.bits for x in slices[-1]), default=0) > max(max_bits, 64):
+                break
+        else:
+            return Cascade(tuple(slices))
+        # Some level, first or later, outgrew the bound: finer slices.
+        n_slices *= 2
 
 
 def levels_of(universe: DataFrame) -> tuple[Level, ...]:

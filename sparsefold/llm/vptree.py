@@ -6,7 +6,7 @@ queries descends together; a side is skipped if the triangle inequality, with th
 ``factor``, rules out anything nearer than the k-th best so far. Factor 1 skips only what cannot matter and is exact,
 ties included. Shards and blocks of queries meet by an equi-join on the shard; each pair reports k rows at most.
 
-Distances are Euclidean on the original numbers in double precision. Vectors that are null, zero, or hold null or
+Distances are Euclidean on the original numbers in double precision, infinite only where no double holds them. Vectors that are null, zero, or hold null or
 non-finite components take no part; queries meet rows of their own dimension only. Rows without an id take no part. A
 row never finds its own id; rows that repeat an id are found separately, and the least vector of them asks for all. An empty table gives an empty one, further columns are
 not read.
@@ -26,6 +26,8 @@ SHARD_ROWS, BLOCK_QUERIES, LEAF_ROWS, QUERIES_AT_ONCE = 4096, 32768, 256, 512
 NO_ID = np.iinfo(np.int64).max
 #: Relative error that a matrix product of double numbers may have here, with room.
 ROUNDING = 1e-9
+#: Squared lengths up to here can be multiplied and subtracted; distances from here on have exact squares.
+LARGE, TINY = 1e300, 1e-140
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -55,12 +57,20 @@ class Tree:
             half = (end - start) // 2
             self.split[start, end] = point, start + half, d[by[half - 1]], d[by[half]]
             todo += [(start, start + half), (start + half, end)]
-        self.squares = np.einsum("ij,ij->i", self.vectors, self.vectors)
+        with np.errstate(over="ignore"):
+            self.squares = np.einsum("ij,ij->i", self.vectors, self.vectors)
 
 
 def distances(a: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    diff = rows - a
-    return np.sqrt(np.einsum("...j,...j->...", diff, diff))
+    """Distances whose squares leave the range of doubles are taken again of numbers scaled by a power of two, which is exact."""
+    with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+        diff = rows - a
+        d = np.sqrt(np.einsum("...j,...j->...", diff, diff))
+        for bad, scale in ((~np.isfinite(d), 2.0 ** -600), (d < TINY, 2.0 ** 600)):
+            if bad.any():
+                diff = rows[bad] * scale - (a[bad] if a.ndim == rows.ndim else a) * scale
+                d[bad] = np.sqrt(np.einsum("...j,...j->...", diff, diff)) / scale
+    return d
 
 
 class Best:
@@ -68,20 +78,26 @@ class Best:
 
     def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
         self.own, self.queries, self.k = query_ids, queries, k
-        self.squares = np.einsum("ij,ij->i", queries, queries)
+        with np.errstate(over="ignore"):
+            self.squares = np.einsum("ij,ij->i", queries, queries)
         self.d = np.full((len(query_ids), k), np.inf)
         self.ids = np.full((len(query_ids), k), NO_ID)
 
     def offer(self, q: np.ndarray, tree: Tree, start: int, end: int) -> None:
         """A matrix product, with a margin for its rounding, screens what cannot be among the k nearest; the rest is measured exactly."""
         rows = slice(start, end)
-        size = self.squares[q][:, None] + tree.squares[rows]
-        near = size - 2 * (self.queries[q] @ tree.vectors[rows].T)
-        near[self.own[q][:, None] == tree.ids[rows]] = np.inf
-        limit = self.d[q, -1] ** 2
-        if end - start > self.k:
-            limit = np.minimum(limit, np.partition(near, self.k - 1, axis=1)[:, self.k - 1])
-        row, col = np.nonzero((near <= limit[:, None] + ROUNDING * size) & np.isfinite(near))
+        other = self.own[q][:, None] != tree.ids[rows]
+        with np.errstate(over="ignore", invalid="ignore"):
+            size = self.squares[q][:, None] + tree.squares[rows]
+            close = other
+            if size.max() < LARGE:
+                near = size - 2 * (self.queries[q] @ tree.vectors[rows].T)
+                near[~other] = np.inf
+                limit = self.d[q, -1] ** 2
+                if end - start > self.k:
+                    limit = np.minimum(limit, np.partition(near, self.k - 1, axis=1)[:, self.k - 1])
+                close = other & (near <= limit[:, None] + ROUNDING * size + TINY)
+        row, col = np.nonzero(close)
         if not row.size:
             return
         vec = start + col
@@ -115,7 +131,9 @@ def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, k: int, facto
             continue
         point, middle, low, high = tree.split[start, end]
         d = distances(point, queries[q])
-        to_inner, to_outer = np.maximum(d - low, 0), np.maximum(high - d, 0)
+        with np.errstate(invalid="ignore"):
+            # Two distances beyond the numbers' range tell nothing apart.
+            to_inner, to_outer = (np.nan_to_num(np.maximum(gap, 0), nan=0.0, posinf=np.inf) for gap in (d - low, high - d))
         nearer = to_inner <= to_outer
         inner, outer = (start, middle), (middle, end)
         # The last put on is taken first: each query visits its nearer side before the other.
@@ -134,7 +152,7 @@ def shard_search(k: int, factor: float):
         if len(rows) and len(blocks):
             tree = Tree(rows["vec_id"].to_numpy(dtype=np.int64), matrix(rows["v"]))
             best = search(tree, blocks["vec_id"].to_numpy(dtype=np.int64), matrix(blocks["v"]), k, factor)
-            q, col = np.nonzero(np.isfinite(best.d))
+            q, col = np.nonzero(best.ids != NO_ID)
             out = {"query_id": best.own[q], "vec_id": best.ids[q, col], "score": best.d[q, col]}
         return pd.DataFrame(out)
 

@@ -77,6 +77,26 @@ def test_fingerprints_edits_and_neighbours(spark, tmp_path, monkeypatch):
     assert all(g[7] == w[7] for g, w in zip(got, want, strict=True) if g[1] < 20000)
 
 
+def test_ids_over_the_whole_range_and_a_thousand_rows_of_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL_ROWS", 8)
+    rows = [(i, f"text number {i} of these") for i in (-(1 << 63), -(1 << 63) + 1, -5, 0, 50, (1 << 62), (1 << 63) - 1)] + [(7, f"same id {i}") for i in range(1000)]
+    got = op9_fingerprints(spark, written(spark, tmp_path, rows)).collect()
+    order = sorted(rows, key=lambda r: (-r[0], r[1].encode()))
+    want = []
+    for at, (i, t) in enumerate(order):
+        k, following = len(t) // 3, order[(at + 1) % len(order)][1]
+        want.append((i, hashlib.sha256((t[:len(t) - k] + following[:k]).encode()).hexdigest(), f"{word_fp(t):016x}"))
+    assert sorted((r["doc_id"], r["edited_sha256"], r["fingerprint"]) for r in got) == sorted(want)
+    fps = {word_fp(t) for _, t in rows}
+    for r in got:
+        if r["doc_id"] % 50 == 0:
+            own = int(r["fingerprint"], 16)
+            near = sorted((b, f - (1 << 64) * (f >> 63)) for f in fps if (b := (f ^ own).bit_count()) <= 3)
+            assert r["within"] == ",".join(f"{f & (1 << 64) - 1:016x}:{b}" for b, f in near)
+        else:
+            assert r["within"] is None
+
+
 def test_block_tables_find_every_pair_once(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(-(1 << 63), (1 << 63) - 1, 60)

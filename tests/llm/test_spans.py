@@ -109,6 +109,26 @@ def test_shared_secret_is_an_example_and_live_one_is_masked(spark):
     assert secrets.redact(docs.limit(0)).count() == 0
 
 
+def test_the_whole_value_decides_and_repositories_count(spark):
+    padded = "token=" + "A" * 256 + "b1c2d3e4f5g6h7i8"
+    rows = [(1, padded, "s1", "r1"), (2, "token=" + "A" * 300, "s1", "r1")]
+    rows += [(10 + i, "token=copied123456EXAMPLE", f"s{i % 2}", f"r{i}") for i in range(40)]
+    rows += [(60 + i, "token=onesown987654Zx", "s5", f"r{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, owner string, repo string")
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(docs, owner="owner", repo="repo", n_chars=None).collect()}
+    assert out[1] == secrets.MASK and out[2] == rows[1][1]
+    assert all(out[10 + i] == "token=copied123456EXAMPLE" and out[60 + i] == secrets.MASK for i in range(40))
+
+
+def test_account_numbers_end_where_their_country_says():
+    number = "DE89370400440532013000"
+    for text in (f"IBAN {number} BIC COBADEFF", f"{number}.", "DE89 3704 0044 0532 0130 00 AND MORE", f"x {number} 17", f"GB82WEST12345698765432 {number}"):
+        found = [(text[s:e].replace(" ", "")) for k, s, e in pii.added_spans(text) if k == "iban"]
+        assert number in found, text
+    for text in (f"{number}7", f"X{number}", "DE88370400440532013000", "ZZ89370400440532013000"):
+        assert not [1 for k, *_ in pii.added_spans(text) if k == "iban"], text
+
+
 def plain_rule(url):
     if url is None or "://" not in url:
         return "", "", None
@@ -148,6 +168,13 @@ def test_cascade_is_exact_with_several_levels_and_slices(spark, monkeypatch):
     assert urls.build(keys.limit(0)).slices == ((),)
 
 
+def test_every_level_keeps_its_bound(spark):
+    keys = spark.range(20_000).selectExpr("concat('k', id) key", "id % 2000 = 0 listed")
+    cascade = urls.build(keys, 1024)
+    assert max(x.bits for levels in cascade.slices for x in levels) <= 1024
+    assert keys.where(cascade.holds(keys["key"]) != keys["listed"]).count() == 0
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")

@@ -35,6 +35,16 @@ def test_exact_search_with_ties_copies_and_unusable_vectors(spark, tmp_path, mon
     assert len(got & want) >= 0.95 * len(want)
 
 
+def test_numbers_whose_squares_leave_the_range(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=3) * 10.0 ** rng.choice([-200, -3, 0, 100, 200])).tolist()) for i in range(600)]
+    rows += [(900, [1e308, 0.0, 0.0]), (1000, [-1e308, 1e308, 0.0]), (1001, [-1.7e308] * 3)]
+    monkeypatch.setattr(vptree, "LEAF_ROWS", 16)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, vptree.nearest(df, df["vec_id"] % 100 == 0, factor=1.0, shard_rows=100).collect()))
+    assert got == brute(rows) and len(got) == 80
+
+
 def test_recall_of_the_query(spark):
     base = "/root/testdata/sf0.01"
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{base}/embeddings.parquet").collect()]
