@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sparsefold.llm.shared import broadcast_if_small, stored
-from sparsefold.llm.units import KNOWN_UNITS, Memo, at_spaces, byte_chars, gathered, slices, sums
+from sparsefold.llm.units import KNOWN_UNITS, Memo, at_spaces, byte_chars, flattened, gathered, slices, sums
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 CAPACITY, END_ID = 2048, 0
@@ -66,7 +66,7 @@ class WordCoder:
         self.ranks, self.both = np.append(order, NO_RANK), np.append(both[order], -1)
         self.inner, self.last = (np.array([ids.get(c + end, -1) for c in byte_chars()]) for end in ("", suffix))
         self.marks: dict[str, list[int]] = {}
-        self.words = Memo(self.merged, known=KNOWN_UNITS)
+        self.words = Memo(lambda new: flattened(self.merged(new)), known=KNOWN_UNITS)
 
     def __call__(self, units: list[str]) -> list[list[int]]:
         """Ids of each unit, which holds no white space but what is dropped."""
@@ -129,7 +129,8 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str =
     schema = PIECES + (", ids array<int>" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(WordCoder(json_text))
+        coder = WordCoder(json_text)
+        memo = Memo(lambda new: flattened(coder(new)))
         seen = np.zeros(capacity + 1, dtype=np.int64)
         part = TaskContext.get().partitionId()
         for batch in slices(batches, lambda b: pc.utf8_length(b.column(1))):

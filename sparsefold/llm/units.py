@@ -7,8 +7,8 @@ what was learnt of units, up to a stated number, and gathers it for whole batche
 from __future__ import annotations
 
 from array import array
-from collections.abc import Callable, Iterator
-from itertools import pairwise
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -56,10 +56,16 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends[1:]] - total[ends[:-1]]
 
 
+def flattened(lists: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers one after the other, how many of each list)."""
+    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    return np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=int(sizes.sum())), sizes
+
+
 class Memo:
-    """Numbers units; ``learn`` gives the integers of each new unit, which stay in one flat array."""
+    """Numbers units; ``learn`` gives the integers of new units, all in one array, and how many of each; they stay in one flat array."""
 
-    def __init__(self, learn: Callable[[list[str]], list], code: str = "i", known: int = KNOWN_UNITS):
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], code: str = "i", known: int = KNOWN_UNITS):
         self.learn, self.code, self.known = learn, code, known
         self.forget()
 
@@ -72,10 +78,10 @@ class Memo:
             self.forget()
         new = [u for u in distinct if u not in self.numbers]
         if new:
-            for unit, found in zip(new, self.learn(new), strict=True):
-                self.numbers[unit] = len(self.numbers)
-                self.flat.extend(found)
-                self.starts.append(len(self.flat))
+            values, sizes = self.learn(new)
+            self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
+            self.flat.frombytes(values.astype(self.code).tobytes())
+            self.starts.frombytes((self.starts[-1] + np.cumsum(sizes)).astype(np.int64).tobytes())
         return np.fromiter(map(self.numbers.__getitem__, distinct), dtype=np.int64, count=len(distinct))
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
