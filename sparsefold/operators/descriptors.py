@@ -5,7 +5,7 @@ from __future__ import annotations
 import operator
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sparsefold.functions.numeric import nan_to_null
 from sparsefold.functions.text import count_class, tokens
@@ -81,10 +81,14 @@ TEXT_RULES = {
 }
 
 
-def rule_flags(df: DataFrame, row_id: str, rules: dict[str, list[tuple[str, str, float]]]) -> DataFrame:
-    """One 0/1 column per rule: 1 when every bound holds. A missing or NaN operand gives 0."""
+def rule_columns(rules: dict[str, list[tuple[str, str, float]]]) -> dict[str, Column]:
+    """A 0/1 column per rule: 1 when every bound holds. A missing or NaN operand gives 0."""
     def flag(bounds):
         checks = [OPS[op](nan_to_null(F.col(c).cast("double")), F.lit(float(b))) for c, op, b in bounds]
         return F.when(reduce(operator.and_, checks), 1).otherwise(0)
 
-    return df.select(row_id, *[flag(bounds).alias(name) for name, bounds in rules.items()])
+    return {name: flag(bounds) for name, bounds in rules.items()}
+
+
+def rule_flags(df: DataFrame, row_id: str, rules: dict[str, list[tuple[str, str, float]]]) -> DataFrame:
+    return df.select(row_id, *[flag.alias(name) for name, flag in rule_columns(rules).items()])
