@@ -58,6 +58,34 @@ def apply_scaler(df: DataFrame, params: DataFrame, cols: list[str]) -> DataFrame
     return df.withColumns({c: (F.col(c) - F.lit(p[c]["center"])) / F.lit(p[c]["scale"]) for c in cols})
 
 
+def fold_scalers(df: DataFrame, fold: str, cols: list[str], folds: int) -> list[dict[str, tuple[float, float]]]:
+    """For each fold: column -> (mean, deviation) of the rows outside it, missing ones taken as the mean; one scan for all folds.
+
+    Every fold's count, mean and squared deviation is aggregated once, and those of the others are merged, so what a fold is
+    scaled by owes nothing to its own rows. A column without a value outside the fold has mean 0, one without spread scale 1.
+    """
+    cells = {c: F.struct(F.count(c).alias("n"), F.coalesce(F.avg(c), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop(c), F.lit(0.0)).alias("var")) for c in cols}
+    found = {r[fold]: r for r in df.groupBy(fold).agg(F.count("*").alias("_rows"), *[v.alias(c) for c, v in cells.items()]).collect()}
+    out = []
+    for k in range(folds):
+        others = [r for f, r in found.items() if f != k]
+        rows = sum(r["_rows"] for r in others)
+        params = {}
+        for c in cols:
+            n = sum(r[c]["n"] for r in others)
+            mean = sum(r[c]["n"] * r[c]["mean"] for r in others) / n if n else 0.0
+            square = sum(r[c]["n"] * (r[c]["var"] + (r[c]["mean"] - mean) ** 2) for r in others)
+            deviation = (square / rows) ** 0.5 if rows else 0.0
+            params[c] = (mean, deviation if deviation > 0 else 1.0)
+        out.append(params)
+    return out
+
+
+def scaled_by(df: DataFrame, params: dict[str, tuple[float, float]], out: str = "x") -> DataFrame:
+    """Adds the array ``out`` of the columns, centred and scaled; missing ones are 0, which is their mean."""
+    return df.withColumn(out, F.array(*[F.coalesce((F.col(c) - F.lit(m)) / F.lit(s), F.lit(0.0)) for c, (m, s) in params.items()]))
+
+
 def row_sum_scale(df: DataFrame, cols: list[str]) -> DataFrame:
     """Divide by the signed row sum; a zero sum gives NULL. Needs no fitting."""
     total = reduce(lambda a, b: a + b, [F.col(c) for c in cols])

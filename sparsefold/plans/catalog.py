@@ -11,7 +11,7 @@ from sparsefold.operators import labels as lab, models, moments, neighbours, res
 from sparsefold.plans import flows
 from sparsefold.session import settle, shared_dir
 from sparsefold.sources import stores
-from sparsefold.sources.tables import labelled_records, table
+from sparsefold.sources.tables import labelled_records, labelled_texts, table, with_label
 from sparsefold.sources.tsv import read_tsv, write_tsv
 
 DESC = descriptors.DESCRIPTORS
@@ -36,8 +36,8 @@ def documents(spark, base) -> DataFrame:
 
 def record_bits(spark, base, n_bits, max_n=3) -> DataFrame:
     """(doc_id, y, bits) of the labelled records."""
-    rec = labelled_records(spark, base).select("doc_id", "y", "text")
-    return fingerprint.with_ngram_bits(rec, "text", n_bits, max_n)
+    bits = fingerprint.with_ngram_bits(labelled_texts(spark, base).select("doc_id", "text"), "text", n_bits, max_n)
+    return with_label(bits, spark, base).select("doc_id", "y", "bits")
 
 
 def record_words(spark, base, n_bits) -> DataFrame:
@@ -454,6 +454,15 @@ def results_table(spark, base):
     return evaluate.metrics(predictions(spark, base), ["model", "part", "seed"]).select("model", "part", "seed", *r6(*names))
 
 
+@query
+def results_from_log(spark, base):
+    """``results_table`` by way of the stored predictions and the run log. The run is written twice, which leaves one copy."""
+    path, preds = shared_dir(spark), settle(predictions(spark, base))
+    for _ in range(2):
+        logged = flows.save_run(spark, path, "twice", preds)
+    return logged.select("run", "model", "part", "seed", *r6("auc", "accuracy", "f1", "sensitivity", "specificity"))
+
+
 @query
 def metric_over_seeds(spark, base):
     return evaluate.over_seeds(evaluate.auc(predictions(spark, base), ["model", "part", "seed"]), ["model", "part"])
@@ -484,10 +493,20 @@ def kernel_gram_centered(spark, base):
     return kernel.gram_sums(embeddings(spark, base), "vec_id", "embedding", 64).select("vec_id", F.round("k_centered", 9).alias("k_centered"))
 
 
+def raw_descriptors(spark, base) -> DataFrame:
+    """(doc_id, y, descriptors...) of the labelled records; texts stay with their scan."""
+    desc = descriptors.scalar_descriptors(labelled_texts(spark, base), "doc_id", "text")
+    return settle(with_label(desc, spark, base))
+
+
+def raw_vectors(spark, base) -> DataFrame:
+    """(doc_id, y, x): raw descriptors, to be filled and scaled by those rows that train."""
+    return raw_descriptors(spark, base).select("doc_id", "y", F.array(*DESC).alias("x"))
+
+
 def described_vectors(spark, base) -> DataFrame:
     """(doc_id, y, x, features): scaled descriptors of the labelled records."""
-    rec = labelled_records(spark, base).select("doc_id", "y", "text")
-    desc = settle(descriptors.scalar_descriptors(rec, "doc_id", "text", keep=("y",)))
+    desc = raw_descriptors(spark, base)
     desc = clean.apply_imputer(desc, clean.fit_imputer(desc, DESC), DESC)
     scaled = clean.apply_scaler(desc, clean.fit_scaler(desc, DESC), DESC)
     x = F.array(*DESC)
@@ -509,23 +528,9 @@ def kpca_scores(spark, base):
 LANDMARKS = 512
 
 
-@query
-def kpca_landmarks(spark, base):
-    """Kernel PCA of the key and n-gram columns (1,024 of them) by landmark rows: each row's squared length in the mapped space, which is
-    its kernel value with itself wherever the landmarks span it."""
-    docs = documents(spark, base).select("doc_id", "text")
-    bits = fingerprint.with_ngram_bits(docs, "text", FOLD_BITS, 1)
-    rows = settle(bits.select("doc_id", "bits"))
-    marks = kernel.choose_landmarks(rows.select("doc_id", kernel.dense_bits("bits", FOLD_BITS).alias("x")), "doc_id", "x", LANDMARKS)
-    mapped = kernel.landmark_features(rows.select("doc_id", array_to_vector(kernel.dense_bits("bits", FOLD_BITS)).alias("features")), marks)
-    own = F.aggregate(vector_to_array("_map"), F.lit(0.0), lambda a, v: a + v * v)
-    chosen = kernel.landmark_order(rows, "doc_id", LANDMARKS).select("doc_id", F.lit(True).alias("is_landmark"))
-    return (mapped.select("doc_id", own.alias("own")).join(chosen, "doc_id").select("doc_id", *r6("own")))
-
-
 @query
 def kpca_landmark_scores(spark, base):
-    """Kernel PCA by landmark rows of every record, of which ``kpca_landmarks`` shows the landmarks alone: the squared length in the mapped
+    """Kernel PCA by landmark rows of every record: the squared length in the mapped
     space (``own``) and of the scores, fitted over all records (``score_sq``)."""
     rows = settle(fingerprint.with_ngram_bits(documents(spark, base).select("doc_id", "text"), "text", FOLD_BITS, 1).select("doc_id", "bits"))
     first = kernel.landmark_order(rows, "doc_id", LANDMARKS)
@@ -536,14 +541,25 @@ def kpca_landmark_scores(spark, base):
     return scores.select("doc_id", length("_map").alias("own"), length("kpca").alias("score_sq")).select("doc_id", *r6("own", "score_sq"))
 
 
+@query
+def kpca_landmark_bounds(spark, base):
+    """What must hold of ``kpca_landmark_scores`` whatever the data: no record is longer in the mapped space than under the kernel itself
+    (``within``), and the landmarks keep their kernel values (``exact``, NULL for other records)."""
+    docs = documents(spark, base).select("doc_id", "text")
+    bits = fingerprint.with_ngram_bits(docs, "text", FOLD_BITS, 1)
+    own = (kernel.GAMMA * F.size("bits") + 1) * (kernel.GAMMA * F.size("bits") + 1)
+    marks = kernel.landmark_order(docs.select("doc_id"), "doc_id", LANDMARKS).select("doc_id", F.lit(True).alias("is_landmark"))
+    rows = bits.select("doc_id", own.alias("k_self")).join(marks, "doc_id", "left").join(kpca_landmark_scores(spark, base), "doc_id")
+    return rows.select("doc_id", *r6("k_self"), (F.col("own") <= F.col("k_self") + 2e-6).alias("within"),
+                       F.when(F.col("is_landmark"), F.abs(F.col("own") - F.col("k_self")) <= 2e-6).alias("exact"))
+
+
 # Resampling
 
 
 def all_scaled(spark, base) -> DataFrame:
     """(doc_id, y, x): the scaled descriptors of the labelled records, missing ones 0."""
-    rec = labelled_records(spark, base).select("doc_id", "y", "text")
-    desc = descriptors.scalar_descriptors(rec, "doc_id", "text", keep=("y",))
-    rows = settle(desc.select("doc_id", "y", *[F.coalesce(F.round(c, 6), F.lit(0.0)).alias(c) for c in DESC]))
+    rows = settle(raw_descriptors(spark, base).select("doc_id", "y", *[F.coalesce(F.round(c, 6), F.lit(0.0)).alias(c) for c in DESC]))
     scaled = clean.apply_scaler(rows, clean.fit_scaler(rows, DESC, "maxabs"), DESC)
     return settle(scaled.select("doc_id", "y", F.array(*DESC).alias("x")))
 
@@ -598,26 +614,26 @@ def scored(preds: DataFrame) -> DataFrame:
 
 @query
 def lasso_select(spark, base):
-    rows = described_vectors(spark, base).select("doc_id", "y", "x")
-    return select.lasso_select(rows, "doc_id", DESC)
+    return select.lasso_select(raw_vectors(spark, base), "doc_id", DESC, scale=True)
 
 
 @query
 def forward_select(spark, base):
-    rows = described_vectors(spark, base).select("doc_id", "y", "x")
-    return select.forward_select(rows, "doc_id", DESC)
+    return select.forward_select(raw_vectors(spark, base), "doc_id", DESC, scale=True)
 
 
 @query
 def grid_search_scores(spark, base):
-    rows = described_vectors(spark, base).select("doc_id", "y", "x")
     grid = [{"c": c, "balanced": b} for c in EFFORT.logistic_c for b in (False, True)]
-    return select.logistic_scores(rows, "doc_id", grid)
+    return select.logistic_scores(raw_vectors(spark, base), "doc_id", grid, scale=True)
 
 
 @query
 def train_logistic(spark, base):
-    return scored(flows.logistic_predictions(flows.prepare(spark, base, EFFORT.seeds), EFFORT))
+    """Predictions, column lists and metrics are written; the result is read back from the log."""
+    p = flows.prepare(spark, base, EFFORT.seeds)
+    logged = flows.save_run(spark, shared_dir(spark), "logistic", settle(flows.logistic_predictions(p, EFFORT)), p.lists)
+    return logged.select("model", "part", "seed", *r6("auc", "accuracy", "f1", "sensitivity", "specificity"))
 
 
 @query
@@ -646,17 +662,48 @@ def train_stacked(spark, base):
 
 @query
 def platt_calibrate(spark, base):
-    rows = described_vectors(spark, base).select("doc_id", "y", "x")
-    return models.fit_linear_svm(rows, "doc_id")(rows).select("doc_id", "y", *r6("prob"))
+    """Every row's probability comes from a margin, a curve, means and scales that other folds' rows gave."""
+    held = models.out_of_fold_scaled(raw_descriptors(spark, base), "doc_id", DESC, lambda part: models.fit_linear_svm(part, "doc_id", folds=3))
+    return held.select("doc_id", "y", *r6("prob"))
 
 
 @query
 def oof_predictions(spark, base):
-    rows = described_vectors(spark, base).select("doc_id", "y", "x")
-    held = models.out_of_fold(rows, "doc_id", lambda part: models.fit_logistic(part))
+    held = models.out_of_fold_scaled(raw_descriptors(spark, base), "doc_id", DESC, lambda part: models.fit_logistic(part))
     return held.select("doc_id", "fold", F.col("y").alias("actual"), *r6("prob"))
 
 
+def probable(prob: Column) -> Column:
+    return F.coalesce((prob >= 0) & (prob <= 1), F.lit(False))
+
+
+@query
+def oof_folds(spark, base):
+    """Every labelled record once, in the fold of its hash, with a probability."""
+    return oof_predictions(spark, base).select("doc_id", "fold", "actual", probable(F.col("prob")).alias("scored"))
+
+
+@query
+def platt_rows(spark, base):
+    return platt_calibrate(spark, base).select("doc_id", "y", probable(F.col("prob")).alias("scored"))
+
+
+@query
+def search_settings(spark, base):
+    """Every setting of the search is scored on every repeat that holds rows out; no score of a probability's logarithm is positive."""
+    found = grid_search_scores(spark, base)
+    return found.groupBy("at", *r6("c"), "balanced").agg(F.count("*").alias("n_reps"), F.max("score").alias("_most")).select(
+        "at", "c", "balanced", "n_reps", (F.col("_most") <= 0).alias("possible"))
+
+
+@query
+def train_sizes(spark, base):
+    """Rows and positives that the logistic flow scores per part and seed, and whether all of them got a probability."""
+    preds = flows.logistic_predictions(flows.prepare(spark, base, EFFORT.seeds), EFFORT)
+    return preds.groupBy("model", "part", "seed").agg(F.count("*").alias("n"), F.sum("actual").cast("long").alias("n_pos"),
+                                                      F.min(probable(F.col("prob"))).alias("scored"))
+
+
 @query
 def pipeline_save_load_score(spark, base):
     """A fitted kernel PCA written, read back and applied; the scores' spectrum shows it is the same model."""

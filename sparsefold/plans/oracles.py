@@ -205,8 +205,23 @@ ORACLES = {
         p AS (SELECT y.id AS doc_id, x.id AS nbr, len(list_intersect(x.b, y.b)) AS k, x.n + y.n AS n FROM f x JOIN f y ON x.id < y.id AND least(x.n, y.n) >= 0.95 * greatest(x.n, y.n) - 1e-9 AND x.n > 0 AND y.n > 0)
         SELECT s.doc_id, f.id AS nbr, 1.0::DOUBLE AS sim FROM s JOIN f ON s.b = f.b WHERE s.doc_id <> f.id
         UNION ALL SELECT doc_id, nbr, round(k::DOUBLE / (n - k), 6) FROM p WHERE k::DOUBLE / (n - k) >= 0.95""",
-    "kpca_landmarks": f"""WITH {bits('documents', 1024, True)}, n AS (SELECT d.doc_id, count(bit) AS n FROM documents d LEFT JOIN bits USING (doc_id) GROUP BY 1)
-        SELECT doc_id, round((0.001::DOUBLE * n + 1) * (0.001::DOUBLE * n + 1), 6) AS own FROM n ORDER BY md5(doc_id || '|1'), doc_id LIMIT 512""",
+    "kpca_landmark_bounds": f"""WITH {bits('documents', 1024, True)}, n AS (SELECT d.doc_id, count(bit) AS n FROM documents d LEFT JOIN bits USING (doc_id) GROUP BY 1),
+        o AS (SELECT *, row_number() OVER (ORDER BY md5(doc_id || '|1'), doc_id) AS place FROM n)
+        SELECT doc_id, round((0.001::DOUBLE * n + 1) * (0.001::DOUBLE * n + 1), 6) AS k_self, true AS "within", CASE WHEN place <= 512 THEN true END AS exact FROM o""",
+    "oof_folds": f"""WITH {REC} SELECT doc_id, (('0x' || substr({h('doc_id', 8516)}, 1, 8))::BIGINT % 5)::INTEGER AS fold, y AS actual, true AS scored FROM rec""",
+    "platt_rows": f"WITH {REC} SELECT doc_id, y, true AS scored FROM rec",
+    "search_settings": """WITH c AS (SELECT i, pow(10::DOUBLE, -2 + 3 * i / 29.0::DOUBLE) AS c FROM range(30) t(i))
+        SELECT (2 * i + b)::INTEGER AS at, round(c, 6) AS c, b = 1 AS balanced, 20 AS n_reps, true AS possible FROM c, range(2) u(b)""",
+    "results_from_log": f"""WITH {PREDS}, {auc('preds', 'model, part, seed')}, {confusion('preds', 'model, part, seed')}
+        SELECT 'twice' AS run, model, part, seed, round(auc, 6) AS auc, round(accuracy, 6) AS accuracy, round(f1, 6) AS f1,
+        round(sensitivity, 6) AS sensitivity, round(specificity, 6) AS specificity FROM auc JOIN conf USING (model, part, seed)""",
+    "train_sizes": f"""WITH {REC}, g AS (SELECT source, count(*) AS n, sum(y) AS pos FROM rec GROUP BY 1),
+        c AS (SELECT *, sum(n) OVER (ORDER BY {h('source', 1)}, source) AS upto, sum(n) OVER () AS total FROM g),
+        held AS (SELECT n, pos FROM c WHERE upto > total * 0.8), rest AS (SELECT source, n, pos FROM c WHERE upto <= total * 0.8),
+        r AS (SELECT seed, source, n, pos, sum(n) OVER (PARTITION BY seed ORDER BY {h('source', 'seed')}, source) AS upto, sum(n) OVER (PARTITION BY seed) AS total
+            FROM rest, range(1, 6) t(seed)),
+        e AS (SELECT seed, 'valid' AS part, n, pos FROM r WHERE upto > total * 0.875 UNION ALL SELECT seed, 'test', n, pos FROM held, range(1, 6) t(seed))
+        SELECT 'logistic' AS model, part, seed::INTEGER AS seed, sum(n)::BIGINT AS n, sum(pos)::BIGINT AS n_pos, true AS scored FROM e GROUP BY seed, part""",
     "split_semi_join": f"WITH {PART} SELECT d.doc_id, source, n_chars FROM documents d JOIN part USING (doc_id) WHERE part = 'test'",
     "drop_listed_features": f"""WITH {pearson()}, {MELT} SELECT doc_id, feature, round(value, 6) AS value FROM melted
         WHERE feature NOT IN (SELECT f2 FROM pr WHERE abs(r) > 0.95 AND NOT isnan(r))""",

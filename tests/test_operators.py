@@ -290,9 +290,14 @@ def test_stores_round_trip(spark, tmp_path):
     out = clean.apply_scaler(train, stores.load_params(spark, str(tmp_path / "p")), ["v"])
     assert rows(out) == [(-1.0,), (1.0,)]
     log = str(tmp_path / "log")
-    for _ in range(2):
-        stores.append_metrics(train, log)
-    assert spark.read.parquet(log).count() == 4
+    for run in ("one", "two", "two"):
+        stores.log_metrics(train, log, run)
+    assert sorted(map(tuple, stores.load_metrics(spark, log).collect())) == [(1.0, "one"), (1.0, "two"), (3.0, "one"), (3.0, "two")]
+    preds = spark.createDataFrame([("m", "test", 1, 7, 0.5), ("m", "valid", 1, 8, 0.25), ("n", "test", 2, 7, 0.75)], "model string, part string, seed int, doc_id long, prob double")
+    for some in (preds, preds.where("model = 'm'"), preds.where("seed = 2")):
+        stores.save_predictions(some, str(tmp_path / "preds"))
+    again = stores.load_predictions(spark, str(tmp_path / "preds")).select(*preds.columns)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, preds.collect()))
     with pytest.raises(ValueError):
         stores.save_list(train.withColumn("w", F.lit(1)), str(tmp_path / "l"))
     stores.save_list(train, str(tmp_path / "l"))
