@@ -84,6 +84,82 @@ def test_features():
     assert np.array_equal(again[0], f[1])
 
 
+def plain_features(text, lexicon):
+    """The features of one text, token by token."""
+    tokens = text.split()
+    n = len(tokens)
+    if not n:
+        return [0.0] * toxicity.N_FEATURES
+    insult, word, odds, stem, stem_odds, second, hidden, disguised = [], [], [], [], [], [], [], []
+    caps = letters = digits = marks = shouts = bangs = 0
+    for t in tokens:
+        low = t.lower()
+        core = re.sub(r"^[\W_]+|[\W_]+$", "", low)
+        plain = re.sub(r"(.)\1{2,}", r"\1", "".join("oieastasi"["013457@$!".index(c)] if c in "013457@$!" else c for c in low))
+        plain = "".join(c for c in re.sub(r"^[\W_]+|[\W_]+$", "", plain) if c.isalpha())
+        own = [sum(map(f, t)) for f in (str.isupper, str.isalpha, str.isdigit)]
+        insult.append(core in toxicity.INSULTS)
+        word.append(lexicon.words.get(core, 0.0))
+        stem.append(lexicon.stems.get(core[:5], 0.0) if len(core) > 5 else 0.0)
+        second.append(core in toxicity.SECOND_PERSON)
+        hidden.append(bool(toxicity.INNER.search(t) or re.search(r"(.)\1{2,}", low)))
+        disguised.append(core not in toxicity.INSULTS and plain in toxicity.INSULTS)
+        caps, letters, digits, marks = caps + own[0], letters + own[1], digits + own[2], marks + len(t) - own[1] - own[2]
+        shouts += own[1] > 2 and own[0] == own[1]
+        bangs += t.count("!") + t.count("?")
+    bad = [i for i in range(n) if insult[i] or word[i] > 0 or stem[i] > 0 or disguised[i]]
+    close = sum(any(second[max(0, i - 5):i + 6]) for i in bad)
+    chars = max(letters + digits + marks, 1)
+    n_word, n_stem = sum(w > 0 for w in word), sum(x > 0 for x in stem)
+    return [np.log1p(n), sum(insult) / n, np.log1p(sum(insult)), n_word / n, np.log1p(n_word), sum(word) / n, n_stem / n, np.log1p(n_stem), sum(stem) / n,
+            max(word + stem), sum(second) / n, close / max(len(bad), 1), sum(hidden) / n, np.log1p(sum(disguised)), caps / max(letters, 1), shouts / n, marks / chars,
+            bangs / n, digits / chars, letters / n]
+
+
+def walked(node, x):
+    while node.subtreeDepth() > 0:
+        split = node.split()
+        node = node.leftChild() if x[split.featureIndex()] <= split.threshold() else node.rightChild()
+    return node.prediction()
+
+
+def pooled(points):
+    """Isotonic means by pooling adjacent violators: [(first, last, mean)]."""
+    merged = {}
+    for x, y in points:
+        merged.setdefault(x, []).append(y)
+    pools = []
+    for x in sorted(merged):
+        pools.append([x, x, sum(merged[x]), len(merged[x])])
+        while len(pools) > 1 and pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3]:
+            last = pools.pop()
+            pools[-1] = [pools[-1][0], last[1], pools[-1][2] + last[2], pools[-1][3] + last[3]]
+    return [(a, b, t / n) for a, b, t, n in pools]
+
+
+def test_scores_equal_a_plain_walk_through_the_fitted_model(spark, base):
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    scorer = toxicity.fit(docs, labels)
+    trees = [(w, t._java_obj.rootNode()) for w, t in zip(scorer.trees.treeWeights, scorer.trees.trees, strict=True)]
+
+    def raw(text):
+        x = plain_features(text, scorer.lexicon)
+        return 1 / (1 + np.exp(-2 * sum(w * walked(node, x) for w, node in trees)))
+
+    texts, toxic = {r["doc_id"]: r["text"] or "" for r in docs.collect()}, {}
+    for r in labels.collect():
+        if r["doc_id"] in texts and r["doc_id"] is not None and r["toxic"] is not None:
+            toxic[r["doc_id"]] = max(r["toxic"], toxic.get(r["doc_id"], 0))
+    checked = [(raw(texts[i]), y) for i, y in toxic.items() if zlib.crc32(str(i).encode()) % 4 == 3]
+    pools = pooled(checked)
+    xs, ys = [v for a, b, _ in pools for v in (a, b)], [m for *_, m in pools for _ in range(2)]
+    some = scorer.score(docs.where("doc_id % 3 = 0 or doc_id is null or doc_id >= 2000"), "text").select("text", "score").collect()
+    assert len(some) > 300
+    for r in some:
+        x = raw(r["text"] or "")
+        assert r["score"] == pytest.approx(0.98 * np.interp(x, xs, ys) + 0.02 * x, abs=1e-6), r["text"]
+
+
 def test_usual_tokens_take_the_short_way_to_the_same_row():
     rng = random.Random(9)
     lexicon = toxicity.Lexicon({"zorg": 2.5, "ab": 1.0}, {"zorgf": 3.0})
