@@ -256,6 +256,12 @@ def autocorr_lag(spark, base):
     return autocorr.lag_autocorrelation(events, "user_id", ["ts", "event_id"], "value").select("user_id", "lag", F.round("ac", 4).alias("ac"))
 
 
+@query
+def autocorr_graph(spark, base):
+    docs = documents(spark, base).select("doc_id", "text")
+    return graph.lag_autocorrelation(graph.token_graph(docs, "doc_id", "text"), "doc_id", 2).select("doc_id", "lag", "ac")
+
+
 @query
 def autocorr_distance(spark, base):
     e = F.transform("embedding", lambda v: v.cast("double"))

@@ -212,6 +212,13 @@ ORACLES = {
     "platt_rows": f"WITH {REC} SELECT doc_id, y, true AS scored FROM rec",
     "search_settings": """WITH c AS (SELECT i, pow(10::DOUBLE, -2 + 3 * i / 29.0::DOUBLE) AS c FROM range(30) t(i))
         SELECT (2 * i + b)::INTEGER AS at, round(c, 6) AS c, b = 1 AS balanced, 20 AS n_reps, true AS possible FROM c, range(2) u(b)""",
+    "autocorr_graph": f"""WITH {tok('documents')}, word AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM tok),
+        nxt AS (SELECT doc_id, w, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM word),
+        e AS (SELECT DISTINCT doc_id, w, v FROM nxt WHERE v IS NOT NULL AND w <> v UNION SELECT DISTINCT doc_id, v, w FROM nxt WHERE v IS NOT NULL AND w <> v),
+        far AS (SELECT DISTINCT a.doc_id, a.w, b.v FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.v = b.w WHERE a.w <> b.v),
+        apart AS (SELECT doc_id, w, v, 1 AS lag FROM e UNION ALL SELECT doc_id, w, v, 2 FROM (SELECT * FROM far EXCEPT SELECT * FROM e)),
+        s AS (SELECT doc_id, lag, sum(length(w) * length(v)) / 2 AS ac FROM apart GROUP BY 1, 2)
+        SELECT d.doc_id, l::INTEGER AS lag, coalesce(ac, 0)::DOUBLE AS ac FROM documents d CROSS JOIN range(1, 3) r(l) LEFT JOIN s ON s.doc_id = d.doc_id AND s.lag = l""",
     "results_from_log": f"""WITH {PREDS}, {auc('preds', 'model, part, seed')}, {confusion('preds', 'model, part, seed')}
         SELECT 'twice' AS run, model, part, seed, round(auc, 6) AS auc, round(accuracy, 6) AS accuracy, round(f1, 6) AS f1,
         round(sensitivity, 6) AS sensitivity, round(specificity, 6) AS specificity FROM auc JOIN conf USING (model, part, seed)""",

@@ -35,9 +35,15 @@ def build_session(cpus: int | str = "*", app: str = "sparsefold", shuffle_partit
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under the one the session names in ``spark.checkpoint.dir``, else under its warehouse: both are
-    folders that every executor can reach."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "stored")
+    """A fresh folder under the one the session names in ``spark.checkpoint.dir``, which every executor can reach.
+
+    Where that is unset, a local session uses its warehouse; a cluster has no folder that this could guess.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "stored")
     path = os.path.join(base, f"sparsefold-{uuid.uuid4().hex}")
     STORED.append(path)
     return path

@@ -284,6 +284,35 @@ def test_workers_need_no_package_on_their_path(tmp_path):
     assert "rows 2" in said.stdout, said.stderr[-2000:]
 
 
+def test_graph_lags_equal_breadth_first_search(monkeypatch):
+    from collections import deque
+
+    from sparsefold.operators import graph
+
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(graph, "START_NODES", 7)
+    for n, m in ((1, 0), (2, 1), (30, 40), (60, 61)):
+        nodes = [f"w{'x' * int(rng.integers(0, 6))}{i}" for i in range(n)]
+        pairs = sorted({" ".join(sorted(rng.choice(nodes, 2))) for _ in range(m)})
+        near = {w: set() for w in nodes}
+        for a, _, b in (p.partition(" ") for p in pairs):
+            if a != b:
+                near[a].add(b)
+                near[b].add(a)
+        want = [0.0] * 4
+        for s in nodes:
+            steps, todo = {s: 0}, deque([s])
+            while todo:
+                v = todo.popleft()
+                for w in near[v] - set(steps):
+                    steps[w] = steps[v] + 1
+                    todo.append(w)
+            for w, d in steps.items():
+                if 0 < d <= 4 and s < w:
+                    want[d - 1] += len(s) * len(w)
+        assert graph.distance_products(nodes, pairs, np.array([len(w) for w in nodes], dtype=float), 4) == want
+
+
 def test_stores_round_trip(spark, tmp_path):
     train = spark.createDataFrame([(1.0,), (3.0,)], "v double")
     stores.save_params(clean.fit_scaler(train, ["v"]), str(tmp_path / "p"))
