@@ -5,10 +5,11 @@ their first character and backslashes are doubled, so that ``unescaped`` gives t
 turn. Whole conversations are rendered and encoded once with offsets; a token is under the mask if its span meets the
 span of an assistant text, found by binary search in the sorted spans. The markers are single tokens, so no token
 reaches over a text's ends, and a conversation may be cut between turns without changing its tokens: it is written in
-chunks of bounded size, numbered from 0, and no task holds more than a chunk, however many rows a conversation has.
+chunks of bounded size, numbered upwards, and no task holds more than a chunk. A conversation of more than ``HOT_ROWS`` rows
+is formatted by many tasks, each a range of its turns; only its digests, which need all its text in order, stream through one.
 
 Rows of a conversation are taken by turn, equal turns by role, then text, nulls first; null roles and texts are empty,
-null ids form one conversation. Repeated rows are turns of their own, an empty table gives an empty one, and further
+null ids form one conversation, as does an id -1 that is there already. Repeated rows are turns of their own, an empty table gives an empty one, and further
 columns are not read. The tokenizer file is read on the driver and travels with the tasks.
 """
 
@@ -20,8 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from sparsefold.llm.shared import broadcast_if_small, stored
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 START, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
 #: Control strings of this and of widespread templates.
@@ -30,8 +34,10 @@ CONTROL = re.compile("|".join(map(re.escape, CONTROLS)))
 ESCAPED = re.compile(rf"\\|(?={CONTROL.pattern}).", re.DOTALL)
 TURN = re.compile(f"{re.escape(START)}(.*?){re.escape(SAYS)}(.*?){re.escape(END)}", re.DOTALL)
 LEARNT = "assistant"
-CHUNK_CHARS, ENCODED_AT_ONCE = 1 << 18, 1 << 20
-CHUNKS = "conv_id long, chunk int, text string, ids array<int>, loss_mask array<boolean>"
+CHUNK_CHARS, ENCODED_AT_ONCE, HOT_ROWS = 1 << 18, 1 << 20, 100_000
+#: Characters of a text by which ranges of a long conversation are cut; within one, whole texts are compared.
+PREFIX = 64
+CHUNKS = "conv_id long, chunk long, text string, ids array<int>, loss_mask array<boolean>"
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long"
 
 
@@ -106,7 +112,7 @@ def batches_of(found: Iterator[Chunk]) -> Iterator[list[Chunk]]:
         yield some
 
 
-def format_chats(conversations: DataFrame, path: str = TOKENIZER, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def format_chats(conversations: DataFrame, path: str = TOKENIZER, chunk_chars: int = CHUNK_CHARS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(conv_id, chunk, text, ids, loss_mask); a conversation's chunks follow each other in one partition."""
     with open(path, encoding="utf-8") as f:
         json_text = f.read()
@@ -117,7 +123,7 @@ def format_chats(conversations: DataFrame, path: str = TOKENIZER, chunk_chars: i
                 yield from zip(*(c.to_pylist() for c in b.slice(at, 1024).columns), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = None
+        coder, part = None, TaskContext.get().partitionId() << 32
         for some in batches_of(chunks(rows_of(batches), chunk_chars)):
             coder = coder or tokenizer(json_text)
             texts = ["".join(c.parts) for c in some]
@@ -127,12 +133,20 @@ def format_chats(conversations: DataFrame, path: str = TOKENIZER, chunk_chars: i
                 ids.append(e.ids)
                 masks.append(masked(spans[:, 0], spans[:, 1], np.array(c.spans, dtype=np.int64).reshape(-1, 2)).tolist())
             yield pa.RecordBatch.from_arrays([
-                pa.array([c.conv_id for c in some], pa.int64()), pa.array([c.number for c in some], pa.int32()), pa.array(texts, pa.string()),
+                pa.array([c.conv_id for c in some], pa.int64()), pa.array([part + c.number for c in some], pa.int64()), pa.array(texts, pa.string()),
                 pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.bool_()))], names=["conv_id", "chunk", "text", "ids", "loss_mask"])
 
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
-    sorted_turns = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return sorted_turns.mapInArrow(run, CHUNKS)
+    order = ["conv_id", "turn", "role", "text"]
+    formatted = lambda rows: rows.sortWithinPartitions(*order).select("conv_id", "role", "text").mapInArrow(run, CHUNKS)
+    # At most one row per ``hot_rows`` rows of the input.
+    hot = stored(turns.groupBy("conv_id").count().where(F.col("count") > hot_rows).select(F.col("conv_id").alias("hot")))
+    if hot.isEmpty():
+        return formatted(turns.repartition("conv_id"))
+    is_hot, few = F.col("conv_id").eqNullSafe(F.col("hot")), broadcast_if_small(hot, 16)
+    usual = formatted(turns.join(few, is_hot, "left_anti").repartition("conv_id"))
+    long = stored(formatted(turns.join(few, is_hot, "left_semi").repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, PREFIX))))
+    return usual.unionByName(long.repartition("conv_id").sortWithinPartitions("conv_id", "chunk"))
 
 
 class Digest:
@@ -171,8 +185,8 @@ def read_back(formatted: DataFrame, path: str = TOKENIZER) -> DataFrame:
         for b in batches:
             coder = coder or tokenizer(json_text)
             for i in range(b.num_rows):
-                conv_id, number, text = (b.column(j)[i].as_py() for j in range(3))
-                if number == 0:
+                conv_id, text = b.column(0)[i].as_py(), b.column(2)[i].as_py()
+                if now is None or now.conv_id != conv_id:
                     done += [now.row()] if now else []
                     now = Digest(conv_id)
                 now.add(text, b.column(3)[i].values.to_numpy(), b.column(4)[i].values.to_numpy(zero_copy_only=False), coder)

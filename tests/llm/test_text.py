@@ -123,11 +123,11 @@ def chats():
         + [(600, t, "assistant" if t % 2 else "user", f"turn {t} " * 9) for t in range(3000)]
 
 
-@pytest.mark.parametrize("chunk_chars", [1, 5000, chat.CHUNK_CHARS])
-def test_chats_read_back(spark, chunk_chars):
+@pytest.mark.parametrize("chunk_chars,hot_rows", [(1, 100_000), (5000, 500), (5000, 0), (chat.CHUNK_CHARS, 100_000)])
+def test_chats_read_back(spark, chunk_chars, hot_rows):
     rows = chats()
     df = spark.createDataFrame([(*r, "c") for r in rows], "conv_id long, turn long, role string, text string, chunk string").repartition(7)
-    formatted = chat.format_chats(df, chunk_chars=chunk_chars)
+    formatted = chat.format_chats(df, chunk_chars=chunk_chars, hot_rows=hot_rows)
     got = {r["conv_id"]: r for r in chat.read_back(formatted).collect()}
     want = expected(rows)
     assert set(got) == set(want)
