@@ -77,4 +77,61 @@ SELECT page_id, host, path, rule, coalesce(said, CASE WHEN regexp_matches(host,
 FROM parsed LEFT JOIN best USING (n)
 """
 
-ORACLES = {"op2_mixing": OP2, "op3_secrets": OP3, "op5_urls": OP5}
+#: CRC-32 of the text K, bit by bit.
+CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(K) + 1), lambda i: unicode(substr(K, i, 1))::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda j: 0::BIGINT)),
+    lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"""
+
+
+def path(cost: str, edit: str, said: str, rest: str) -> str:
+    """Cost, audit and repaired lines of an edit in front of the path ``rest``."""
+    return f"{{'c': ({cost}) + {rest}.c, 'e': '{edit}' || {rest}.e, 'r': {said} || {rest}.r}}"
+
+
+def edited(state: int) -> str:
+    """The least path behind a row, over keeping, giving a role and deleting it, from a state that lets the next role be ``after``."""
+    after, role = ((2, "user"), (2, "user"), (3, "assistant"), (2, "user"))[state]
+    keep = {0: "CASE first WHEN 's' THEN {s} WHEN 'u' THEN {u} END", 2: "CASE first WHEN 'a' THEN {a} END"}.get(state, "CASE first WHEN 'u' THEN {u} END")
+    own = {x: path("late", "K", "chr(10) || role || ':' || text", f"s{to}") for x, to in (("s", 1), ("u", 2), ("a", 3))}
+    given = path("late + 2", "R", f"chr(10) || '{role}:' || text", f"s{after}")
+    return f"list_min(list_filter([{path('3', 'D', chr(39) * 2, f's{state}')}, CASE WHEN NOT forced THEN {keep.format(**own)} END, CASE WHEN NOT forced THEN {given} END], lambda x: x IS NOT NULL))"
+
+
+def inserted(state: int) -> str:
+    """The least of a path, one behind an inserted row, and one behind two."""
+    one, two = ((2, 3), (2, 3), (3, 2), (2, 3))[state]
+    user, both = ("user", "user:' || chr(10) || 'assistant:") if state != 2 else ("assistant", "assistant:' || chr(10) || 'user:")
+    return f"list_min([b{state}, {path('2', 'I', f'chr(10) || {chr(39)}{user}:{chr(39)}', f'b{one}')}, {path('4', 'II', f'chr(10) || {chr(39)}{both}{chr(39)}', f'b{two}')}])"
+
+
+OP12 = f"""
+WITH RECURSIVE hit AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {CRC.replace('K', "(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS f FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+    CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE f WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hit WHERE f <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM damaged),
+told AS (
+  SELECT *, left(role, 1) AS first, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS before, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM placed),
+rows AS (SELECT *, fault IN ('blank', 'duplicate') AS forced, (fault = 'truncated')::BIGINT AS late FROM told),
+walk(conv_id, i, s0, s1, s2, s3) AS (
+  SELECT DISTINCT conv_id, n + 1, {{'c': 0::BIGINT, 'e': '', 'r': ''}}, {{'c': 4::BIGINT, 'e': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'}},
+    {{'c': 2::BIGINT, 'e': 'I', 'r': chr(10) || 'assistant:'}}, {{'c': 0::BIGINT, 'e': '', 'r': ''}} FROM placed
+  UNION ALL
+  SELECT conv_id, i, {", ".join(inserted(s) for s in range(4))}
+  FROM (SELECT w.conv_id, r.i, {", ".join(f"{edited(s)} AS b{s}" for s in range(4))}
+    FROM walk w JOIN rows r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i - 1) t),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND left(before, 1) || first NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(s0.c, 0) AS cost, coalesce(s0.e, '') AS audit, sha256(coalesce(substr(s0.r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counted k ON k.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN walk w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = 1
+"""
+
+ORACLES = {"op2_mixing": OP2, "op3_secrets": OP3, "op5_urls": OP5, "op12_repair": OP12}

@@ -12,7 +12,7 @@ within a task is repaired there, many at a time. Those cut by a task's end or lo
 fragments: least costs between the four roles before and after each, handed backwards; audits for each role before, chosen
 forwards. No task holds more than a fragment, but for the keys of one task's rows.
 
-Rows are taken by turn, nulls first, equal turns by role, then a hash of the text. Null roles and texts are one space, null ids
+Rows are taken by turn, nulls first, equal turns by role, then the text's first 64 characters, then a hash of it. Null roles and texts are one space, null ids
 one conversation; an empty or foreign role can't be kept. Rows that are not ``present`` only name their conversation, which
 then has a result without rows. Repeated rows are duplicates, an empty table gives an empty one, further columns are not read.
 """
@@ -46,6 +46,7 @@ KEEP_COST, ROLE_COST, DELETE_COST, INSERT_COST, TRUNCATED_COST = 0, 2, 3, 2, 1
 AUDIT = np.frombuffer(b"$DIKR", dtype=np.uint8)
 FAR = 1 << 50
 LEGAL = frozenset(("su", "ua", "au"))
+PREFIX = 64
 FRAGMENT_ROWS, FRAGMENT_CHARS, ROWS_AT_ONCE, CHARS_AT_ONCE = 4096, 1 << 21, 16_384, 1 << 22
 #: What is known of a stretch of a conversation before it is repaired.
 FOUND = "illegal long, blank long, duplicate long, truncated long, n_turns long, least_turn long, most_turn long"
@@ -302,7 +303,8 @@ def fragments(turns: DataFrame, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame
     own = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text",
                        F.coalesce(F.col("present"), F.lit(True)).alias("present"),
                        F.xxhash64(F.coalesce("text", F.lit(" "))).alias("tie"), F.monotonically_increasing_id().alias("spread"))
-    order = ["conv_id", "turn", F.coalesce("role", F.lit(" ")), "tie"]
+    # Short keys, as the cluster samples them; equal rows are told apart by any number, so that a crowd of them is spread.
+    order = ["conv_id", "turn", F.coalesce("role", F.lit(" ")), F.substring(F.coalesce("text", F.lit(" ")), 1, PREFIX), "tie"]
     return own.repartitionByRange(*order, "spread").sortWithinPartitions(*order, "text").select(
         "conv_id", "turn", "role", "text", "present").mapInArrow(run, FRAGMENT)
 

@@ -6,11 +6,13 @@ import re
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
 from sparsefold.llm import repair
-from sparsefold.llm.queries import op12_repair
+from sparsefold.llm.queries import ORACLES, op12_repair
+from tests.oracle import mismatch
 
 TEXTS = ["Hello.", "Yes", "Why?", "", " ", "\t\r\n", "Go! ", "No... ok", "é\xa0", "\xa0", "End.\n", None]
 
@@ -119,6 +121,9 @@ def test_query_and_empty_table(spark, tmp_path):
     rows = conversations(20)
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert got(op12_repair(spark, str(tmp_path))) == expected(rows)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert mismatch(op12_repair(spark, str(tmp_path)), con, ORACLES["op12_repair"]) is None
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/none/conversations.parquet")
     assert op12_repair(spark, f"{tmp_path}/none").collect() == []
 
