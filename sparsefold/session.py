@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BROADCAST_ROW_LIMIT = 200_000
 ROWS_PER_TASK = 10_000
-PARALLEL_FITS = 4
+# Five seeds or folds in one round.
+PARALLEL_FITS = 5
 STORED: list[str] = []
 
 
