@@ -10,7 +10,7 @@ from sparsefold.plans.catalog import QUERIES
 from sparsefold.session import build_session
 
 HEADLINE = ["chi2_bits", "fp_ngram", "tanimoto_pairs", "prune_tanimoto", "pearson_pairs", "kernel_gram", "kpca_scores", "split_stratified",
-            "autocorr_lag", "scale_standard", "impute_mean_fit_apply", "knn_minority", "smote_rows", "metric_auc", "results_table",
+            "autocorr_lag", "scale_standard", "impute_mean_fit_apply", "tanimoto_rows", "kpca_landmark_scores", "knn_minority", "smote_rows", "metric_auc", "results_table",
             "train_stacked"]
 
 
