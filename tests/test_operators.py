@@ -284,6 +284,18 @@ def test_workers_need_no_package_on_their_path(tmp_path):
     assert "rows 2" in said.stdout, said.stderr[-2000:]
 
 
+def test_records_without_text_have_empty_features(spark):
+    from sparsefold.operators import design, graph
+
+    docs = spark.createDataFrame([(1, None, "en"), (2, "", None), (3, "one two one.", "en")], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in design.record_features(docs, "doc_id", "text").collect()}
+    names = {i: design.column_names(r["bits"]) for i, r in found.items()}
+    assert not [n for i in (1, 2) for n in names[i] if not n.startswith("key")] and found[1]["n_chars"] is None
+    assert {n.split("_")[0] for n in names[3]} == {"ng", "nb", "key"} and found[3]["bits"] == sorted(set(found[3]["bits"]))
+    lags = graph.lag_autocorrelation(graph.token_graph(docs, "doc_id", "text"), "doc_id", 2).collect()
+    assert {(r["doc_id"], r["lag"]): r["ac"] for r in lags} == {(1, 1): 0, (1, 2): 0, (2, 1): 0, (2, 2): 0, (3, 1): 9, (3, 2): 0}
+
+
 def test_graph_lags_equal_breadth_first_search(monkeypatch):
     from collections import deque
 
