@@ -55,7 +55,9 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.fingerprint_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
     asked = F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))
     near = simhash.found_within(rows, asked)
-    return rows.join(near, "fp", "left").select(
+    # Rows that don't ask stay where they are: copies of one text share a fingerprint, and all of them would meet in one task.
+    others = rows.where(~asked).select("*", F.lit(None).cast("long").alias("n"), F.lit(None).cast(near.schema["found"].dataType).alias("found"))
+    return rows.where(asked).join(near, "fp", "left").unionByName(others).select(
         "doc_id", "n_chars", "edited_sha256", simhash.hex64(F.col("fp")).alias("fingerprint"), simhash.hex64(F.col("edited_fp")).alias("edited_fingerprint"),
         simhash.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), simhash.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
         F.when(asked, F.col("n") - 1).alias("n_within"),
