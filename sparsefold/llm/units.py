@@ -27,11 +27,21 @@ def slices(batches: Iterator[pa.RecordBatch], size: Callable[[pa.RecordBatch], p
             yield batch.slice(a, b - a)
 
 
-def at_spaces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def encoded_at_spaces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(units per text, number of each unit, distinct units); an empty text is one empty unit."""
     lists = pc.split_pattern(texts, " ")
     found = lists.flatten().dictionary_encode()
-    return np.diff(lists.offsets.to_numpy()), found.indices.to_numpy(zero_copy_only=False), found.dictionary.to_pylist()
+    return np.diff(lists.offsets.to_numpy()), found.indices.to_numpy(zero_copy_only=False), found.dictionary
+
+
+def strings(texts: pa.Array) -> list[str]:
+    """``to_pylist`` of an array without nulls, by one conversion for all."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
+def at_spaces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    counts, codes, distinct = encoded_at_spaces(texts)
+    return counts, codes, distinct.to_pylist()
 
 
 def byte_chars() -> list[str]:

@@ -130,6 +130,36 @@ def test_words_are_merged_as_by_the_library():
     assert coder(words) == coder.by_library(words)
 
 
+def test_words_cost_by_their_merges(monkeypatch):
+    """Pairs are looked up beside merges only, and a word once, whatever marks or capitals it comes with."""
+    with open(packing.TOKENIZER, encoding="utf-8") as f:
+        coder = packing.WordCoder(f.read())
+    rng = random.Random(5)
+    words = list({"".join(rng.choices("etaoinshrdlué", k=rng.randint(1, 20))) for _ in range(5_000)})
+    want = coder.by_library(words)
+    asked = []
+    search = np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda pairs, keys, *a, **k: asked.append(np.size(keys)) or search(pairs, keys, *a, **k))
+    assert coder(words) == want
+    merges = sum(len(w.encode()) - len(ids) for w, ids in zip(words, want, strict=True))
+    assert 0 < sum(asked) <= 2 * merges
+    asked.clear()
+    forms = [form for w in words for form in (w.upper() if "é" not in w else w, w.title() + ",", w + "...")]
+    assert coder(forms) == coder.by_library(forms)
+    assert sum(asked) == 0
+
+
+def test_plain_words_at_every_edge_equal_the_library():
+    with open(packing.TOKENIZER, encoding="utf-8") as f:
+        coder = packing.WordCoder(f.read())
+    letters = [chr(c) for c in range(0x180)]
+    odd = [*letters, *(a + b for a in letters for b in ("a", ".", "é", "\u0301")), *("a" * n for n in range(1, 70)), *("É" * n + "!" for n in range(30, 66)),
+           *("x" + m * k for m in packing.MARKS for k in (1, 2, 5, 63, 64)), "", "\x00", "a\x00", "a\x00.", "a.\x00", "a.b", ".a", "a.\n", "\u212a", "ﬁ.", "İ.", "Σς."]
+    units_ = [u for u in odd if " " not in u]
+    assert coder(units_) == coder.by_library(units_)
+    assert coder([]) == [] and coder([".", "|x"]) == coder.by_library([".", "|x"])
+
+
 def test_memo_forgets_without_changing_results():
     memo = units.Memo(lambda new: units.flattened([[len(u)] for u in new]), known=2)
     for some in (["a", "bb"], ["ccc", "a"], ["dddd"], ["a"]):
