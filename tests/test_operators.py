@@ -1,6 +1,8 @@
 """Hand-made edge cases, and brute force on small frames."""
 
+import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -343,3 +345,18 @@ def test_stores_round_trip(spark, tmp_path):
         stores.save_list(train.withColumn("w", F.lit(1)), str(tmp_path / "l"))
     stores.save_list(train, str(tmp_path / "l"))
     assert stores.load_list(spark, str(tmp_path / "l")).count() == 2
+
+
+def test_long_fingerprints_leave_a_task_in_bounded_batches(spark, monkeypatch):
+    """A batch of many records is hashed record by record; its result is never one piece."""
+    monkeypatch.setattr(graph, "LONG_ROWS", 50)
+    texts = [" ".join(f"w{i}x{k % 7}" for k in range(i % 12)) if i % 9 else None for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").coalesce(1)
+    g = graph.token_graph(df, "id", "text")
+    found = graph.neighbourhood_fingerprint(g, "id", 64)
+    want = Counter()
+    for r in g.collect():
+        for label in graph._labels(r["nodes"] or [], r["_pairs"] or [], 2):
+            want[r["id"], int(hashlib.md5(label.encode()).hexdigest()[:8], 16) % 64] += 1
+    assert rows(found) == sorted((*key, n) for key, n in want.items())
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
