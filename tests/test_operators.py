@@ -360,3 +360,20 @@ def test_long_fingerprints_leave_a_task_in_bounded_batches(spark, monkeypatch):
             want[r["id"], int(hashlib.md5(label.encode()).hexdigest()[:8], 16) % 64] += 1
     assert rows(found) == sorted((*key, n) for key, n in want.items())
     assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_of_listed_records_are_not_shuffled(spark, tmp_path):
+    """Labels may be null or repeated, each repeat counts; the texts meet them where they were read."""
+    from sparsefold.plans.catalog import QUERIES
+
+    docs = [(1, "a b a"), (2, "c d"), (3, None), (4, "e f"), (None, "g h")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (2, None), (2, 0), (None, 1)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = QUERIES["fp_neighbourhood"](spark, str(tmp_path))
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        n = {r["doc_id"]: r["n"] for r in out.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+        assert n == {1: 6, 2: 12} and QUERIES["graph_embedding"](spark, str(tmp_path)).where("weight IS NOT NULL").count() == 18
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
