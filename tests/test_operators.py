@@ -377,3 +377,38 @@ def test_texts_of_listed_records_are_not_shuffled(spark, tmp_path):
         assert n == {1: 6, 2: 12} and QUERIES["graph_embedding"](spark, str(tmp_path)).where("weight IS NOT NULL").count() == 18
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("threshold", [0.95, 0.8])
+def test_near_copies_equal_brute_force_and_no_set_is_shuffled_whole(spark, threshold):
+    """Sizes from none to hundreds, steps of one bit around the threshold, copies, repeated rows, null ids and null sets."""
+    rng = np.random.default_rng(4)
+    sets = [[], [], None, [0], [7], [7], [(1 << 31) - 1, 3]]
+    for n in (5, 19, 20, 21, 40, 60, 400):
+        base = rng.choice(1 << 20, n, replace=False).tolist()
+        sets += [base, base[::-1], base[1:], [*base, 5 << 20], [*base[2:], 6 << 20], base[: round(n * 0.95)], base[: round(n * 0.95) - 1], [*base[: n - n // 30], *range(9 << 20, (9 << 20) + n // 30)]]
+    data = [(i, s) for i, s in enumerate(sets)]
+    data += [data[9], (None, [7]), (None, sets[30])]
+    df = spark.createDataFrame(data, "id bigint, bits array<int>").repartition(3)
+    got = similarity.tanimoto_rows(df, "id", threshold)
+    first = {}
+    for i, s in data:
+        if i is not None and s is not None:
+            key = frozenset(s)
+            first[key] = min(i, first.get(key, i))
+    want = [(i, first[frozenset(s)], 1.0) for i, s in data if i is not None and s is not None and i != first[frozenset(s)]]
+    for a, i in first.items():
+        for b, j in first.items():
+            if j < i and a and b and len(a & b) / len(a | b) >= threshold:
+                want.append((i, j, len(a & b) / len(a | b)))
+    assert rows(got) == sorted(want) and len(want) > 30
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "hashpartitioning(bits" in line or "HashAggregate" in line and "bits" in line]
+
+
+def test_a_size_class_and_the_next_hold_all_sizes_that_can_be_alike():
+    for threshold in (0.5, 0.8, 0.95, 0.99):
+        ends = similarity.size_classes(5000, threshold)
+        sizes = np.arange(1, 4000)
+        largest = np.minimum((sizes / threshold + 1e-9).astype(int), 5000)
+        assert (np.searchsorted(ends, largest) - np.searchsorted(ends, sizes) <= 1).all() and ends[-1] >= 5000
