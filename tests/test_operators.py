@@ -412,3 +412,11 @@ def test_a_size_class_and_the_next_hold_all_sizes_that_can_be_alike():
         sizes = np.arange(1, 4000)
         largest = np.minimum((sizes / threshold + 1e-9).astype(int), 5000)
         assert (np.searchsorted(ends, largest) - np.searchsorted(ends, sizes) <= 1).all() and ends[-1] >= 5000
+
+
+def test_splits_of_many_seeds_are_a_small_plan(spark):
+    df = spark.createDataFrame([(i, f"g{i % 23}") for i in range(300)], "id bigint, source string")
+    parts = split.seeded_group_splits(df, "id", "source", [1, 2, 3, 4, 5])
+    plan = parts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 6 and "Window" not in plan
+    assert parts.groupBy("seed").count().where("count = 300").count() == 5
